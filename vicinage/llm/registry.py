@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vicinage.llm import mixing, packing
+from vicinage.llm import mixing, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_packing": packing.op3_packing,
         "op9_mixing": mixing.op9_mixing,
     }
