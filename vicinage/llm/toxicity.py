@@ -14,12 +14,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vicinage.llm.common import documents
 from vicinage.llm.kernel import U, Words, blocks, distinct
 
 SLOTS = 1 << 16
 RANK = 4
+#: Steps of the fit, at least.
+STEPS = 150
 #: Bound on the labelled documents that the machine is fitted on, chosen by a hash of the id.
 TRAINING_ROWS = 16_000
 
@@ -55,17 +58,17 @@ class Machine:
         squares = np.bincount(of, (v * v).sum(axis=1), n)
         return self.bias[0] + np.bincount(of, self.w[slot], n) + 0.5 * ((sums * sums).sum(axis=1) - squares), v, sums
 
-    def fit(self, slot: np.ndarray, of: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Machine:
+    def fit(self, slot: np.ndarray, of: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-3, seed: int = 5, least: float = 12.0) -> Machine:
         """Adaptive gradient descent on the logistic loss. Only slots that go with a label have a say (see :func:`telling`)."""
         n = len(labels)
-        told = telling(slot, of, labels, len(self.w))
+        told = telling(slot, of, labels, len(self.w), least)
         self.v[~told] = 0
         keep = told[slot]
         slot, of = slot[keep], of[keep]
         begin = np.searchsorted(of, np.arange(n + 1))
         share = min(max(labels.mean(), 1e-3), 1 - 1e-3) if n else 1e-3
         self.bias[0] = np.log(share / (1 - share))
-        epochs = max(epochs, -(-400 * batch // max(n, 1))) if n > batch else 100
+        epochs = max(epochs, -(-STEPS * batch // max(n, 1))) if n > batch else 100
         order, gone = np.random.default_rng(seed), [np.full_like(a, 1e-6) for a in (self.bias, self.w, self.v)]
         for _ in range(epochs):
             mixed_up = order.permutation(n)
@@ -158,7 +161,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
                 out[begin : begin + len(texts)] = own.scores(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "toxicity"])
 
-    schema = docs.schema.add("toxicity", "double")
+    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
