@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vicinage.llm import mixing, packing, toxicity
+from vicinage.llm import mixing, near_dup, packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_packing": packing.op3_packing,
+        "op5_near_dup": near_dup.op5_near_dup,
         "op9_mixing": mixing.op9_mixing,
     }
 
