@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vicinage.llm import mixing, near_dup, packing, toxicity
+from vicinage.llm import mixing, near_dup, packing, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_packing": packing.op3_packing,
         "op5_near_dup": near_dup.op5_near_dup,
