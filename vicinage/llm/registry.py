@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from vicinage.llm import mixing, near_dup, packing, quality_rules, toxicity
+from vicinage.llm import mixing, near_dup, packing, quality_rules, repeats, toxicity
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_packing": packing.op3_packing,
         "op5_near_dup": near_dup.op5_near_dup,
+        "op7_repeats": repeats.op7_repeats,
         "op9_mixing": mixing.op9_mixing,
     }
 
