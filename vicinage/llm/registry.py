@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinage.llm import mixing, near_dup, packing, quality_rules, repeats, toxicity
+from vicinage.llm import chat, language, mixing, near_dup, packing, quality_rules, repeats, toxicity
 
 
 def queries() -> dict:
@@ -14,10 +14,12 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_packing": packing.op3_packing,
         "op5_near_dup": near_dup.op5_near_dup,
+        "op6_language": language.op6_language,
         "op7_repeats": repeats.op7_repeats,
+        "op8_chat": chat.op8_chat,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op8_chat": chat.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
