@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinage.llm import chat, language, mixing, near_dup, packing, quality_rules, repeats, toxicity
+from vicinage.llm import chat, language, media, mixing, near_dup, packing, quality_rules, repeats, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_packing": packing.op3_packing,
+        "op4_media": media.op4_media,
         "op5_near_dup": near_dup.op5_near_dup,
         "op6_language": language.op6_language,
         "op7_repeats": repeats.op7_repeats,
