@@ -152,12 +152,40 @@ def _components(classes: DataFrame, plain: DataFrame, width: int, percent: int)
     # What is left: members of a list in different components that were not paired through its hub.
     labelled = posted.join(component, F.col("rep") == F.col("node"), "left").select("coordinate", "value", "rep", F.coalesce("root", "rep").alias("root"))
     mixed_lists = labelled.groupBy("coordinate", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("length")).filter((F.col("low") != F.col("high")) & (F.col("length") > 2)).select("coordinate", "value")
-    open_lists = cut(labelled.join(mixed_lists, ["coordinate", "value"]))
-    one, two = open_lists.alias("p"), open_lists.alias("q")
-    across = one.join(two, [F.col("p.coordinate") == F.col("q.coordinate"), F.col("p.value") == F.col("q.value"), F.col("p.rep") < F.col("q.rep"), F.col("p.root") != F.col("q.root")])
-    across = across.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    across = _alike(across, members, percent).select("a", "b")
-    return merged(component, cut(confirmed(across, texts, width, percent)))
+    left = cut(labelled.join(mixed_lists, ["coordinate", "value"]).select("rep", "root").distinct())
+    across = _in_reach(left.join(texts, F.col("rep") == F.col("id")).select("rep", "root", "text"), width, percent)
+    return merged(component, cut(confirmed(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), texts, width, percent)))
+
+
+def _in_reach(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of docs (rep, root, text) of different roots that can have the similarity, found without loss.
+
+    Each set is put in order from the shingle that fewest of these documents have to the most frequent one. A link needs
+    a part of percent / (100 + percent) of both sizes in common; if the first common shingle is at places i and j of
+    sets of m and n, at most the m - i and n - j behind them can be. So only early, rare shingles are joined, and
+    documents of one family that were edited differently don't meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for begin, block in blocks(batch.column(2).to_pylist()):
+                hashes, of = distinct(*shingles(Words(block), width))
+                size = np.bincount(of, minlength=len(block))[of]
+                arrays = hashes.view(np.int64), ids[begin + of], roots[begin + of], size
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["shingle", "rep", "root", "size"])
+
+    rows = cut(docs.mapInArrow(run, "shingle long, rep long, root long, size long"))
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("rep").orderBy("held", "shingle")
+    placed = rows.join(held, "shingle").withColumn("rest", F.col("size") - F.row_number().over(order) + 1)
+    # A partner has percent of the size at least, and a shingle that no other has joins nothing.
+    placed = cut(placed.filter((100 * F.col("rest") >= percent * F.col("size")) & (F.col("held") > 1)).select("shingle", "rep", "root", "size", "rest"))
+    p, q = placed.alias("p"), placed.alias("q")
+    need = percent * (F.col("p.size") + F.col("q.size"))
+    fits = [(100 + percent) * F.col(f"{x}.rest") >= need for x in "pq"]
+    met = p.join(q, [F.col("p.shingle") == F.col("q.shingle"), F.col("p.rep") < F.col("q.rep"), F.col("p.root") != F.col("q.root"), *fits])
+    return met.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
