@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinage.llm import chat, language, media, mixing, near_dup, packing, quality_rules, repeats, toxicity
+from vicinage.llm import chat, cotraining, language, media, mixing, near_dup, packing, quality_rules, repeats, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op7_repeats": repeats.op7_repeats,
         "op8_chat": chat.op8_chat,
         "op9_mixing": mixing.op9_mixing,
+        "op10_quality_classifier": cotraining.op10_quality_classifier,
     }
 
 
