@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import cut
 
 
+#: Edges, about, that one partition of an iteration holds; small components are written as few files.
+EDGES = 200_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -29,7 +33,7 @@ def connected(links: DataFrame) -> DataFrame:
         # Small star: a node and its neighbours below get the smallest of these.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(8 + state[0] // EDGES))
         now = _state(edges)
         if now == state:
             break

@@ -217,7 +217,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, select: int = SELEC
     several documents of that id. No rows in, none out; other columns don't matter.
     """
     plain = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
-    matched = cut(_sorted(_suffixes(plain, length, select), "key long, place long, copy long, doc long", _matched, "key", "place", "copy", "doc").select("doc", "copy", "place"))
+    matched = _sorted(_suffixes(plain, length, select), "key long, place long, copy long, doc long", _matched, "key", "place", "copy", "doc").select("doc", "copy", "place")
     places = matched.groupBy("doc", "copy").agg(F.collect_set("place").alias("places"))  # of one text
     found = plain.dropDuplicates(["doc", "copy"]).join(places, ["doc", "copy"])
     windows = _windows(found, length, select)
@@ -271,4 +271,4 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that the corpus has before; a document that is all repeated becomes empty."""
-    return without_passages(docs, cut(repeated_passages(docs)))
+    return without_passages(docs, repeated_passages(docs))
