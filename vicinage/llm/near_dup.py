@@ -142,19 +142,27 @@ def _components(classes: DataFrame, plain: DataFrame, width: int, percent: int)
     texts = plain.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = cut(texts)
     # The most similar hub of each member comes first; most of the others then are in one component with it.
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "matches").select("p.*", "matches")
-    best = both.groupBy("x").agg(F.max(F.struct("matches", F.xxhash64("x", "y").alias("any"), "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
-    links = cut(confirmed(best, texts, width, percent))
-    component = connected(links)
-    seen = best
-    rest = _between(pairs.select("a", "b"), component).join(seen, ["a", "b"], "left_anti")
-    component = merged(component, cut(confirmed(rest, texts, width, percent)))
-    # What is left: members of a list in different components that were not paired through its hub.
+    best = _best(pairs)
+    component = connected(cut(confirmed(best, texts, width, percent)))
+    apart = _between(pairs, component).join(best, ["a", "b"], "left_anti")
+    second = cut(_best(apart))
+    component = merged(component, cut(confirmed(second, texts, width, percent)))
+    tried = best.unionByName(second)
+    # What is left: pairs with further hubs, and members of a list that aren't paired through its hub.
+    apart = _between(pairs, component).join(tried, ["a", "b"], "left_anti")
     labelled = posted.join(component, F.col("rep") == F.col("node"), "left").select("coordinate", "value", "rep", F.coalesce("root", "rep").alias("root"))
     mixed_lists = labelled.groupBy("coordinate", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("length")).filter((F.col("low") != F.col("high")) & (F.col("length") > 2)).select("coordinate", "value")
-    left = cut(labelled.join(mixed_lists, ["coordinate", "value"]).select("rep", "root").distinct())
+    opened = labelled.join(mixed_lists, ["coordinate", "value"]).select("rep").union(apart.select(F.explode(F.array("a", "b")))).distinct()
+    left = cut(opened.join(component, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root")))
     across = _in_reach(left.join(texts, F.col("rep") == F.col("id")).select("rep", "root", "text"), width, percent)
-    return merged(component, cut(confirmed(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), texts, width, percent)))
+    return merged(component, cut(confirmed(across.join(tried, ["a", "b"], "left_anti"), texts, width, percent)))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, matches) each end's one of the most matches."""
+    both = pairs.select("matches", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("p.*", "matches")
+    best = both.groupBy("x").agg(F.max(F.struct("matches", F.xxhash64("x", "y").alias("any"), "y")).alias("m"))
+    return best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
 
 
 def _in_reach(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -198,10 +206,10 @@ def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
+    """The pairs (a, b, matches) whose ends are in different components."""
     a, b = (component.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     both = pairs.join(b, "b", "left").join(a, "a", "left")
-    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "matches")
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

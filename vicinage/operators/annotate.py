@@ -74,7 +74,7 @@ def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model
 
 def annotate_sequences(sequences: DataFrame, options: SequenceOptions, model: Linear | None = None) -> DataFrame:
     """id, pos, token, importance: 1 without a model, else the margin of the position's features."""
-    tokens = sequences.select("id", F.posexplode("tokens").alias("pos", "token"))
+    tokens = sequences.select("id", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     if model is None:
         return tokens.withColumn("importance", F.lit(1.0))
     margins = model.margins(position_vectorize(sequences, options), "id", "pos")

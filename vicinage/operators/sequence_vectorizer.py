@@ -32,7 +32,7 @@ def _pairs(sequences: DataFrame, options: SequenceOptions) -> DataFrame:
     total = lambda at: F.aggregate(F.slice("weights", F.col(at) + 1, F.col("r") + 1), F.lit(0.0), lambda a, w: a + w)
     first = F.lit(42) if options.use_only_context else run("pos")
     value = F.when(F.col("weights").isNull(), F.lit(1.0)).otherwise(total("pos") + total("end"))
-    return rows.select("id", "pos", "end", "r", "d", feature_id(options.nbits, first, run("end"), F.col("r"), F.col("d")).alias("feature"), value.alias("value"))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), "end", "r", "d", feature_id(options.nbits, first, run("end"), F.col("r"), F.col("d")).alias("feature"), value.alias("value"))
 
 
 def checked(sequences: DataFrame) -> DataFrame:
