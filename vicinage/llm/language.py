@@ -27,8 +27,8 @@ EFFECTIVE = 40.0
 
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and text of every byte trigram, A-Z folded; the separator of texts is in none."""
-    data = np.frombuffer(b"\n\n".join(texts) + b"\n\n", np.uint8).astype(np.uint32)
+    """Slot and text of every byte trigram, A-Z folded; a text begins and ends with a space, so none reaches into the next."""
+    data = np.frombuffer(b"\n" + b"\n\n".join(texts) + b"\n\n", np.uint8).astype(np.uint32)
     data = np.where((data >= 65) & (data <= 90), data + 32, data)
     data[data == 10] = 32
     key = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
