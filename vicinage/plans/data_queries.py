@@ -161,9 +161,9 @@ query("line_serialize_graph", lambda s, sf: formats.adjacency_lines(*C.name_grap
 query("word_sequence_roundtrip", lambda s, sf: formats.word_sequence_lines(C.word_graphs(s, sf)[0]), f"WITH v AS ({C.WORDS_SQL[0]}) SELECT graph_id, string_agg(label, ' ' ORDER BY vid) || ' ' AS value FROM v GROUP BY graph_id")
 
 
-# Alignment: each name with the next one.
+# Alignment: names by twos, each even one with the one before.
 def _name_pairs(s: SparkSession, sf: str) -> DataFrame:
-    ids = C.table(s, sf, "part").filter((F.col("p_partkey") % 5 == 0) & (F.col("p_partkey") > 0))
+    ids = C.table(s, sf, "part").filter((F.col("p_partkey") % 2 == 0) & (F.col("p_partkey") > 0))
     return ids.select(F.col("p_partkey").alias("pair_id"), F.col("p_partkey").alias("a_id"), (F.col("p_partkey") - 1).alias("b_id"))
 
 
@@ -174,7 +174,7 @@ def _same_place(s: SparkSession, sf: str) -> DataFrame:
     return side("a").join(side("b").select("pair_id", F.col("b_vid").alias("a_vid")), ["pair_id", "a_vid"]).select("pair_id", "a_vid", F.col("a_vid").alias("b_vid"))
 
 
-_PLACES = f"v AS ({C.NAMES_SQL[0]}), p AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 0), m AS (SELECT id, a.vid, a.label AS x, b.label AS y FROM p JOIN v a ON a.graph_id = id JOIN v b ON b.graph_id = id - 1 AND b.vid = a.vid), n AS (SELECT id, count(*) AS na, (SELECT count(*) FROM v b WHERE b.graph_id = id - 1) AS nb FROM p JOIN v ON graph_id = id GROUP BY id)"
+_PLACES = f"v AS ({C.NAMES_SQL[0]}), p AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND p_partkey > 0), m AS (SELECT id, a.vid, a.label AS x, b.label AS y FROM p JOIN v a ON a.graph_id = id JOIN v b ON b.graph_id = id - 1 AND b.vid = a.vid), n AS (SELECT id, count(*) AS na, (SELECT count(*) FROM v b WHERE b.graph_id = id - 1) AS nb FROM p JOIN v ON graph_id = id GROUP BY id)"
 query("matching_edges_fraction", lambda s, sf: rounded(align.matching_edges_fraction(C.name_graphs(s, sf)[1], _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_PLACES} SELECT id AS pair_id, round((least(na, nb) - 1)::DOUBLE / (na - 1), 6) + 0.0 AS fraction FROM n")
 query("matching_neighborhoods_fraction", lambda s, sf: rounded(align.matching_neighborhoods_fraction(C.name_graphs(s, sf)[1], _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_PLACES} SELECT id AS pair_id, round((least(na, nb) - CASE WHEN na > nb THEN 1 ELSE 0 END)::DOUBLE / least(na, nb), 6) + 0.0 AS fraction FROM n")
 query("max_common_subgraph", lambda s, sf: align.common_subgraphs(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf), rounds=5).groupBy("pair_id").agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts")), f"WITH {_PLACES}, e AS (SELECT id, vid, vid - row_number() OVER (PARTITION BY id ORDER BY vid) AS island FROM m WHERE x = y), c AS (SELECT id, island, count(*) AS n FROM e GROUP BY ALL) SELECT id AS pair_id, max(n) AS largest, count(*) AS parts FROM c GROUP BY id")
@@ -185,7 +185,7 @@ def _vector_gaps(s: SparkSession, sf: str) -> DataFrame:
     query_rows = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
     every = rows.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
     gap = F.aggregate(F.zip_with("x", "y", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, z: t + z)
-    return every.crossJoin(F.broadcast(query_rows.limit(1000))).filter("i <> j").select("i", "j", F.round(F.sqrt(gap), 5).alias("distance"))  # a bounded block of queries
+    return every.crossJoin(query_rows.hint("shuffle_replicate_nl")).filter("i <> j").select("i", "j", F.round(F.sqrt(gap), 5).alias("distance"))  # the query set against all rows, in blocks
 
 
 _GAPS = "g AS (SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE) ** 2))), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
@@ -202,15 +202,12 @@ def _vector_neighbours(s: SparkSession, sf: str) -> DataFrame:
 query("vec_knn", _vector_neighbours, f"WITH {_GAPS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS rank FROM g) WHERE rank <= 5")
 
 
-def _some(s: SparkSession, sf: str):
-    vertices, edges = C.name_graphs(s, sf)
-    near = F.col("graph_id") % 5
-    keep = lambda df: df.filter(near.isin(0, 4))
-    return keep(vertices), keep(edges), _name_pairs(s, sf)
+def _names_by_twos(s: SparkSession, sf: str):
+    return *C.name_graphs(s, sf), _name_pairs(s, sf)
 
 
-query("graph_align", lambda s, sf: align.match(*_some(s, sf)))
-query("stable_match", lambda s, sf: (lambda g: align.stable_match(align.vertex_distances(graph_vectorizer.vertex_vectorize(g[0], g[1], BASE), g[2])))(_some(s, sf)))
+query("graph_align", lambda s, sf: align.match(*_names_by_twos(s, sf)))
+query("stable_match", lambda s, sf: (lambda g: align.stable_match(align.vertex_distances(graph_vectorizer.vertex_vectorize(g[0], g[1], BASE), g[2])))(_names_by_twos(s, sf)))
 query(
     "annotate_sequences_linear",
     lambda s, sf: rounded(annotate.annotate_sequences(C.names(s, sf), SequenceOptions(r=1, d=1, nbits=20), annotate.Linear(((F.col("feature") % 7) - 3) / F.lit(10.0))), "importance"),
