@@ -25,6 +25,18 @@ def test_pairs_count_more_than_their_sum(spark):
     assert both > 0.5 > max(one, other, no)
 
 
+def test_pairs_count_where_no_term_alone_goes_with_the_label(spark):
+    """Each of the two words is in as many toxic as clean texts; both together, or none of them, are toxic."""
+    fillers = ["tree house river stone", "paper cloud window light", "garden bread music road"]
+    rows = [(f"{fillers[k // 16 % 3]} {' '.join(w for w, on in (('zork', k & 4), ('group', k & 8)) if on)}", float(bool(k & 4) == bool(k & 8))) for k in range(768)]
+    slot, of = T.terms([text.encode() for text, _ in rows])
+    labels = np.array([label for _, label in rows])
+    assert not T.telling(slot, of, labels, T.SLOTS).any()
+    machine = T.fit(spark.createDataFrame(rows, "text string, label double"))
+    both, one, other, no = machine.scores([b"tree zork group", b"tree zork", b"tree group", b"tree house"])
+    assert min(both, no) > 0.5 > max(one, other)
+
+
 def test_held_out_accuracy(spark, medium):
     found = T.op2_toxicity(spark, medium).join(spark.read.parquet(f"{medium}/labels.parquet"), "doc_id").filter("held_out")
     assert found.filter((F.col("predicted") == F.col("toxic"))).count() >= 0.95 * found.count()

@@ -35,13 +35,60 @@ def terms(texts: list[bytes], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarra
     return distinct(hashed, np.concatenate([words.of, words.of[long]]))
 
 
+def _ratio(both: np.ndarray, seen: np.ndarray, marked: np.ndarray | float, n: np.ndarray | float) -> np.ndarray:
+    """Likelihood-ratio statistic of a term in ``seen`` of ``n`` texts, ``both`` of them among the ``marked`` ones."""
+    part = lambda count, total, own: count * np.log(np.maximum(count, 1e-9) / np.maximum(total * own / np.maximum(n, 1), 1e-9))
+    return 2 * (part(both, seen, marked) + part(seen - both, seen, n - marked) + part(marked - both, n - seen, marked) + part(n - marked - seen + both, n - seen, n - marked))
+
+
 def telling(slot: np.ndarray, of: np.ndarray, labels: np.ndarray, slots: int, least: float = 12.0) -> np.ndarray:
     """Slots of three texts or more whose likelihood-ratio statistic against the label is at least ``least``."""
-    n, marked = len(labels), labels.sum()
     seen, with_label = np.bincount(slot, minlength=slots), np.bincount(slot, labels[of], slots)
-    part = lambda count, expected: count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9))
-    ratio = sum(part(count, total * own / max(n, 1)) for count, total, own in ((with_label, seen, marked), (seen - with_label, seen, n - marked), (marked - with_label, n - seen, marked), (n - marked - seen + with_label, n - seen, n - marked)))
-    return (seen >= 3) & (2 * ratio >= least)
+    return (seen >= 3) & (_ratio(with_label, seen, labels.sum(), len(labels)) >= least)
+
+
+def interacting(slot: np.ndarray, of: np.ndarray, labels: np.ndarray, slots: int, least: float = 12.0) -> np.ndarray:
+    """Slots of pairs that tell the label together, whatever each tells alone.
+
+    Of a pair, either term must tell the label among the texts that have the other one: a common word beside a telling
+    one doesn't. The statistic grows with the number of pairs that are tried, so that chance alone admits none. Slots
+    whose texts are too few, or too much alike in label, to reach it with any other slot are left out beforehand.
+    """
+    seen, with_label = np.bincount(slot, minlength=slots), np.bincount(slot, labels[of], slots)
+    most = _ratio(with_label, with_label, with_label, seen)  # with a slot that goes with the label in all texts
+    tried = int(((seen >= 3) & (most >= least)).sum())
+    least = max(least, 2 * np.log(max(tried * (tried - 1) / 2, 1)))
+    own = np.flatnonzero((seen >= 3) & (most >= least))
+    place = np.full(slots, -1)
+    place[own] = np.arange(len(own))
+    keep = place[slot] >= 0
+    term, text = place[slot[keep]], of[keep]  # by text
+    begin = np.searchsorted(text, np.arange(len(labels) + 1))
+    order = np.argsort(term, kind="stable")
+    edge = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(own)))])
+    n, marked, found = seen[own].astype(float), with_label[own], np.zeros(len(own), bool)
+    hit, term = labels[text[order]] > 0, term.astype(np.int32)
+
+    def beside(at: np.ndarray, k: int) -> np.ndarray:
+        """Texts, of those with slot k at these places, that have each slot above k."""
+        sizes = begin[text[at] + 1] - at - 1
+        rest = np.repeat(at + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(term[rest], minlength=len(own))[k + 1 :].astype(float)
+
+    for k in range(len(own)):
+        at, has = order[edge[k] : edge[k + 1]], hit[edge[k] : edge[k + 1]]
+        a = beside(at[has], k)
+        together, share = a + beside(at[~has], k), marked[k] / n[k]
+        gap = a - together * share
+        # Twice Pearson's statistic is a bound of the likelihood ratio's, and fast.
+        other = np.flatnonzero(gap * gap * (2 * n[k]) >= (least * share * (1 - share)) * together * (n[k] - together) + 1e-9)
+        together, a, other = together[other], a[other], other + k + 1
+        pair = (_ratio(a, together, marked[k], n[k]) >= least) & (_ratio(a, together, marked[other], n[other]) >= least)
+        found[other[pair]] = True
+        found[k] |= pair.any()
+    out = np.zeros(slots, bool)
+    out[own[found]] = True
+    return out
 
 
 class Machine:
@@ -59,9 +106,9 @@ class Machine:
         return self.bias[0] + np.bincount(of, self.w[slot], n) + 0.5 * ((sums * sums).sum(axis=1) - squares), v, sums
 
     def fit(self, slot: np.ndarray, of: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-3, seed: int = 5, least: float = 12.0) -> Machine:
-        """Adaptive gradient descent on the logistic loss. Only slots that go with a label have a say (see :func:`telling`)."""
+        """Adaptive gradient descent on the logistic loss. Only slots that go with a label, alone or in a pair, have a say (see :func:`telling` and :func:`interacting`)."""
         n = len(labels)
-        told = telling(slot, of, labels, len(self.w), least)
+        told = telling(slot, of, labels, len(self.w), least) | interacting(slot, of, labels, len(self.w), least)
         self.v[~told] = 0
         keep = told[slot]
         slot, of = slot[keep], of[keep]
