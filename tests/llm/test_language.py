@@ -66,6 +66,19 @@ def test_held_out_documents_are_known_by_their_text(spark, medium):
     assert found.filter("text_lang = truth").count() >= 0.95 * found.count()
 
 
+def test_every_language_has_a_profile(spark):
+    """More than 32 languages, and some with one document in thousands."""
+    langs = [f"{a}{b}" for a in "bcdfghj" for b in "aeiouy"]
+    common = spark.range(20_000).select(F.lit("the house and the garden").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(" ".join([x * 3, x + "q" + x, "z" + x]), x) for x in langs], "text string, lang string")
+    docs = common.unionByName(rare).withColumn("doc_id", F.monotonically_increasing_id())
+    found, table = L.profiles(docs)
+    assert found == sorted(["en", *langs]) and table.shape == (43, L.SLOTS)
+    rows = [(k, f"http://h{k}.x/", f'<html lang="{x}">{x * 3} {x}q{x} z{x}', *"abcd") for k, x in enumerate(langs)]
+    got = L.identified(spark.createDataFrame(rows, SCHEMA), found, table).orderBy("page_id").collect()
+    assert [(r["text_lang"], r["lang"]) for r in got] == [(x, x) for x in langs]
+
+
 def test_odd_pages(spark, medium):
     langs, table = L.profiles(spark.read.parquet(f"{medium}/documents.parquet"))
     rows = [(1, None, None, *"abcd"), (1, None, None, *"abcd"), (None, "not an address", "<", *"abcd"), (2, "http://h.x/", "word " * 50_000, *"abcd"), (3, "", "<html lang=>", *"abcd")]

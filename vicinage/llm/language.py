@@ -18,8 +18,8 @@ from vicinage.llm.common import cut, documents
 from vicinage.llm.kernel import blocks
 
 SLOTS = 1 << 15
-#: Bound on the documents whose trigrams are counted, by a hash of the id, and on the languages told apart.
-TRAINING_ROWS, LANGUAGES = 8_000, 32
+#: Languages whose counts a task holds before it hands them on.
+HELD = 64
 #: Smoothing counts of a host towards its suffix and of a suffix towards the corpus.
 HOST, SUFFIX = 4.0, 20.0
 #: Trigrams of a text aren't independent: their log likelihood counts as that of so many.
@@ -38,31 +38,43 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return slot[keep].astype(np.int64), of[keep]
 
 
-def profiles(docs: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of each slot, from at most ``rows`` documents (doc_id, text, lang).
+def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and their log probabilities of each slot, from all documents (text, lang) that have both.
 
-    Counts are made by grouped aggregation over (language, slot). Without a document there are no languages.
+    Counts are made by grouped aggregation over (language, slot); languages times slots of them go to the driver.
+    Without a document there are no languages.
     """
-    chosen = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "lang").alias("order"), "doc_id", "lang")
-    chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("order", "doc_id", "lang").orderBy("order", "doc_id", "lang").limit(rows).select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(counts[used])], ["lang", "slot", "n"])
+            held.clear()
+
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for begin, texts in blocks(batch.column(1).to_pylist()):
                 slot, of = _trigrams(texts)
-                own = langs[begin : begin + len(texts)]
-                for lang in sorted(set(own)):
-                    counts = np.bincount(slot[(own == lang)[of]], minlength=SLOTS)
-                    used = np.flatnonzero(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(counts[used])], ["lang", "slot", "n"])
-
-    counts = chosen.select("lang", "text").mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    langs = sorted(row["lang"] for row in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+                names, which = np.unique(langs[begin : begin + len(texts)], return_inverse=True)
+                order = np.argsort(which[of], kind="stable")
+                edges = np.searchsorted(which[of][order], np.arange(len(names) + 1))
+                for k, lang in enumerate(names):
+                    held.setdefault(lang, np.zeros(SLOTS, np.int64))
+                    held[lang] += np.bincount(slot[order[edges[k] : edges[k + 1]]], minlength=SLOTS)
+                    if len(held) > HELD:
+                        yield from handed()
+        yield from handed()
+
+    counts = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, slot long, n long")
+    counts = counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n"))  # slots at most a language
+    found = {row["lang"]: (row["slot"], row["n"]) for row in counts.collect()}
+    langs = sorted(found)
     table = np.full((len(langs), SLOTS), 0.1)
-    for row in counts.filter(F.col("lang").isin(langs)).toLocalIterator():  # languages times slots at most
-        table[langs.index(row["lang"]), row["slot"]] += row["n"]
+    for k, lang in enumerate(langs):
+        table[k, found[lang][0]] += found[lang][1]
     return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
 
 
@@ -110,16 +122,16 @@ def identified(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFra
     by_declared = scored.filter(F.col("declared").isin(langs)).groupBy("declared").agg(*sums("d")).collect()  # languages at most
     said = {row["declared"]: [row[f"d{k}"] for k in range(n)] for row in by_declared}
     votes = [sum(v[k] for v in said.values()) for k in range(n)]
-    tells = lambda d: F.array(*[F.lit(float(np.log((said.get(d, [0.0] * n)[k] + 0.5) / (votes[k] + 0.5 * n)))) for k in range(n)])
-    known = F.create_map(*[x for d in langs for x in (F.lit(d), tells(d))])
+    tells = lambda d: [float(np.log((said.get(d, [0.0] * n)[k] + 0.5) / (votes[k] + 0.5 * n))) for k in range(n)]
+    known = pages.sparkSession.createDataFrame([(d, tells(d)) for d in langs], "declared string, told array<double>")  # languages squared
     nothing = F.array(*[F.lit(0.0)] * n)
     corpus = F.array(*[F.lit(t / sum(total)) for t in total])
     rest = lambda counts: F.zip_with(counts, F.col("soft"), lambda a, own: F.greatest(a - own, F.lit(0.0)))
     smoothed = lambda counts, towards, weight: F.zip_with(counts, towards, lambda a, p: (a + weight * p))
-    found = scored.join(by_suffix, "suffix").join(by_host, "host")
+    found = scored.join(by_suffix, "suffix").join(by_host, "host").join(F.broadcast(known), "declared", "left")
     found = found.withColumn("suffix_p", _share(smoothed(rest(F.col("suffix_n")), corpus, SUFFIX)))
     found = found.withColumn("host_p", _share(smoothed(rest(F.col("host_n")), F.col("suffix_p"), HOST)))
-    evidence = F.zip_with(F.zip_with("logs", F.coalesce(known[F.col("declared")], nothing), lambda a, b: a + b), "host_p", lambda a, p: a + F.log(p))
+    evidence = F.zip_with(F.zip_with("logs", F.coalesce("told", nothing), lambda a, b: a + b), "host_p", lambda a, p: a + F.log(p))
     found = found.withColumn("posterior", _normal(evidence))
     name = lambda column: F.element_at(F.array(*map(F.lit, langs)), F.array_position(column, F.array_max(column)).cast("int"))
     return found.select("page_id", "host", "suffix", "declared", name(F.col("soft")).alias("text_lang"), name(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("probability"))
