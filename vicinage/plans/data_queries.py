@@ -177,7 +177,7 @@ def _same_place(s: SparkSession, sf: str) -> DataFrame:
 _PLACES = f"v AS ({C.NAMES_SQL[0]}), p AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND p_partkey > 0), m AS (SELECT id, a.vid, a.label AS x, b.label AS y FROM p JOIN v a ON a.graph_id = id JOIN v b ON b.graph_id = id - 1 AND b.vid = a.vid), n AS (SELECT id, count(*) AS na, (SELECT count(*) FROM v b WHERE b.graph_id = id - 1) AS nb FROM p JOIN v ON graph_id = id GROUP BY id)"
 query("matching_edges_fraction", lambda s, sf: rounded(align.matching_edges_fraction(C.name_graphs(s, sf)[1], _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_PLACES} SELECT id AS pair_id, round((least(na, nb) - 1)::DOUBLE / (na - 1), 6) + 0.0 AS fraction FROM n")
 query("matching_neighborhoods_fraction", lambda s, sf: rounded(align.matching_neighborhoods_fraction(C.name_graphs(s, sf)[1], _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_PLACES} SELECT id AS pair_id, round((least(na, nb) - CASE WHEN na > nb THEN 1 ELSE 0 END)::DOUBLE / least(na, nb), 6) + 0.0 AS fraction FROM n")
-query("max_common_subgraph", lambda s, sf: align.common_subgraphs(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf), rounds=5).groupBy("pair_id").agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts")), f"WITH {_PLACES}, e AS (SELECT id, vid, vid - row_number() OVER (PARTITION BY id ORDER BY vid) AS island FROM m WHERE x = y), c AS (SELECT id, island, count(*) AS n FROM e GROUP BY ALL) SELECT id AS pair_id, max(n) AS largest, count(*) AS parts FROM c GROUP BY id")
+query("max_common_subgraph", lambda s, sf: align.common_subgraphs(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf)).groupBy("pair_id").agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts")), f"WITH {_PLACES}, e AS (SELECT id, vid, vid - row_number() OVER (PARTITION BY id ORDER BY vid) AS island FROM m WHERE x = y), c AS (SELECT id, island, count(*) AS n FROM e GROUP BY ALL) SELECT id AS pair_id, max(n) AS largest, count(*) AS parts FROM c GROUP BY id")
 
 
 def _vector_gaps(s: SparkSession, sf: str) -> DataFrame:
