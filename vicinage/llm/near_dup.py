@@ -7,8 +7,9 @@ other coordinates are only compared, not joined (skip). Candidates are confirmed
 
 Copies and families of near copies would make a list's pairs quadratic. Documents of equal sets are one class, of which
 only the representative is posted. In a list every member is first paired with one hub only; hubs differ from list to
-list. Confirmed links join documents into components, and only then are members of one list that are in different
-components paired, so that no link between components is lost.
+list. Confirmed links join documents into components. Members of lists that then still hold several components are no
+longer paired by coordinates: an exact prefix-filtered join on their shingles pairs them, so that no link between
+components is lost.
 """
 
 from __future__ import annotations
