@@ -17,10 +17,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one is set only where the session has none."""
+    """The folder that ``spark.checkpoint.dir`` names; where the session has none, one in the warehouse.
+
+    A temporary folder is taken only where driver and executors are one local process.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vicinage-"))
+        own = tempfile.mkdtemp(prefix="vicinage-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return context.getCheckpointDir()
 
 
@@ -30,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (ids, materialised) marked for broadcast if it has no more than ``rows`` rows; else it is joined by shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def trimmed(text: Column) -> Column:
     """The text without separators at its ends; null becomes empty."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

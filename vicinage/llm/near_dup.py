@@ -1,15 +1,19 @@
 """Near-duplicate documents by an inverted join on MinHash signature coordinates.
 
 A document is the set of its word shingles. Each signature coordinate digests a few minimum hashes, so that documents
-of similarity s share it with probability s ** ROWS. Documents are posted under each coordinate-value pair. Pairs must
-share MATCHES coordinates, so lists of the first COORDINATES - MATCHES + 1 coordinates find them all (prefix), and the
-other coordinates are only compared, not joined (skip). Candidates are confirmed on their full shingle sets.
+of similarity s share it with probability s ** ROWS. Documents are posted under each coordinate-value pair, collisions
+in the lists are counted, and pairs of MATCHES collisions or more are confirmed on their full shingle sets.
+
+* Prefix: a document's coordinates are put in order of their lists' lengths. Pairs of MATCHES collisions meet in a list
+  of their COORDINATES - MATCHES + 1 shortest ones, so each document leaves its MATCHES - 1 longest lists.
+* Skip: the lists that a document has left are not merged; a pair that met elsewhere is probed in them.
 
 Copies and families of near copies would make a list's pairs quadratic. Documents of equal sets are one class, of which
-only the representative is posted. In a list every member is first paired with one hub only; hubs differ from list to
-list. Confirmed links join documents into components. Members of lists that then still hold several components are no
-longer paired by coordinates: an exact prefix-filtered join on their shingles pairs them, so that no link between
-components is lost.
+only the representative is posted. Each list has a hub, its member with the most company over all its lists; collisions
+are counted with hubs first, and each document is confirmed with the hub that it meets most often. Only lists that then
+hold several components are merged further, and only pairs across components. In lists of more than SHORT members these
+would still be too many: there an exact join over the members' rarest shingles finds them (see :func:`_in_reach`), so
+no list has a bound beyond which links are lost.
 """
 
 from __future__ import annotations
@@ -21,13 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import cut, documents
+from vicinage.llm.common import cut, documents, few
 from vicinage.llm.components import connected, merged
 from vicinage.llm.kernel import U, Words, blocks, distinct, mixed, series, shingles
 
 #: At similarity 0.8 a pair shares 16 of 32 coordinates on average, and fewer than 5 once in 100,000 pairs.
 COORDINATES, ROWS, MATCHES = 32, 3, 5
+#: Longest list of which all pairs across components are counted; a member has so many partners at most in it.
+SHORT = 32
 SIGNED = "id long, n_shingles long, set_low long, set_high long, signature array<long>"
+SETS = "id long, set_low long, set_high long, shingles array<long>"
+
+
+def _sets_of(texts: list[bytes], width: int) -> tuple:
+    """Of each text its distinct shingles (hashes one after the other, and their number) and the 128-bit digest of the set."""
+    hashes, of = distinct(*shingles(Words(texts), width))
+    count = np.bincount(of, minlength=len(texts))
+    low, high = np.zeros(len(texts), U), np.zeros(len(texts), U)
+    full = count > 0
+    if len(hashes):
+        first = (np.cumsum(count) - count)[full]
+        low[full] = np.add.reduceat(mixed(hashes), first)
+        high[full] = np.add.reduceat(mixed(hashes ^ U(0x5851F42D4C957F2D)), first)
+    return hashes, count, low, high
+
+
+def _longs(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
@@ -40,71 +64,47 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = series(COORDINATES * ROWS, 11) | U(1), series(COORDINATES * ROWS, 12)
         for batch in batches:
-            sizes, lows, highs, signatures = [], [], [], []
-            for _, texts in blocks(batch.column(1).to_pylist()):
-                hashes, of = distinct(*shingles(Words(texts), width))
-                count = np.bincount(of, minlength=len(texts))
+            for begin, texts in blocks(batch.column(1).to_pylist()):
+                hashes, count, low, high = _sets_of(texts, width)
                 full = count > 0
-                low, high = np.zeros(len(texts), U), np.zeros(len(texts), U)
-                values = np.zeros((len(texts), COORDINATES), U)
+                values = np.zeros((int(full.sum()), COORDINATES), U)
                 if len(hashes):
                     first = (np.cumsum(count) - count)[full]
-                    low[full] = np.add.reduceat(mixed(hashes), first)
-                    high[full] = np.add.reduceat(mixed(hashes ^ U(0x5851F42D4C957F2D)), first)
                     for k in range(COORDINATES):
-                        value = np.zeros(int(full.sum()), U)
                         for r in range(k * ROWS, (k + 1) * ROWS):
                             # The high bits of a product depend on all bits of the hash.
                             least = np.minimum.reduceat((hashes * factors[r] + shifts[r]) >> U(8), first)
-                            value = mixed(value + least)
-                        values[full, k] = value
-                sizes.append(count)
-                lows.append(low)
-                highs.append(high)
-                signatures += [row.view(np.int64) if has else None for row, has in zip(values, full, strict=True)]
-            ints = lambda parts: pa.array(np.concatenate([*parts, np.empty(0, U)]).astype(U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ints(sizes), ints(lows), ints(highs), pa.array(signatures, pa.list_(pa.int64()))], ["id", "n_shingles", "set_low", "set_high", "signature"])
+                            values[:, k] = mixed(values[:, k] + least)
+                edges = np.concatenate([[0], np.cumsum(full) * COORDINATES]).astype(np.int32)
+                signatures = pa.ListArray.from_arrays(pa.array(edges, mask=np.append(~full, False)), _longs(values.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(count, pa.int64()), _longs(low), _longs(high), signatures], ["id", "n_shingles", "set_low", "set_high", "signature"])
 
     return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union; texts: id, text of all that occur."""
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id, digest of the set and its shingles (hashes in order) of each row of docs (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            both = [t for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for t in pair]
-            keep = []
-            for begin, block in _even(both):
-                hashes, of = distinct(*shingles(Words(block), width))
-                edge = np.searchsorted(of, np.arange(len(block) + 1))
-                for k in range(0, len(block), 2):
-                    m, n = edge[k + 1] - edge[k], edge[k + 2] - edge[k + 1]
-                    union = hashes[edge[k] : edge[k + 2]].copy()
-                    union.sort()
-                    shared = int((union[1:] == union[:-1]).sum())
-                    if shared and 100 * shared >= percent * (m + n - shared):
-                        keep.append((begin + k) // 2)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], ["a", "b"])
-
-    one, two = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _even(texts: list) -> Iterator[tuple[int, list[bytes]]]:
-    """Blocks as of the kernel, but of an even number of texts each."""
-    pairs = [(texts[k] or "", texts[k + 1] or "") for k in range(0, len(texts), 2)]
-    begin, own, size = 0, [], 0
-    for k, pair in enumerate(pairs):
-        raw = [t.encode("utf-8", "surrogatepass") for t in pair]
-        if own and size + sum(map(len, raw)) > 1 << 20:
-            yield begin, own
-            begin, own, size = 2 * k, [], 0
-        own += raw
-        size += sum(map(len, raw))
-    if own:
-        yield begin, own
+            for begin, texts in blocks(batch.column(1).to_pylist()):
+                hashes, count, low, high = _sets_of(texts, width)
+                edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), _longs(low), _longs(high), pa.ListArray.from_arrays(pa.array(edges), _longs(hashes))], ["id", "set_low", "set_high", "shingles"])
+
+    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, SETS)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (id, shingles) have 100 * intersection >= percent * union.
+
+    The first end's set is joined last, so that what is moved by a frequent second end, as hubs are, is small.
+    """
+    one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(two, "b").join(one, "a")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - shared
+    return both.filter((shared > 0) & (100 * shared >= percent * union)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +112,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     component_id is the smallest id reachable over links, the own one included; kept marks the row of that id (of
     repeated rows, all). Null texts, empty ones and those without words have 0 shingles and are linked with nothing.
-    Null ids stay null and are not kept. Empty input: no rows. Other columns of the input don't matter.
+    Null ids stay null and are not kept. Rows of one id and different texts go by their own texts; where such an id is
+    the smallest one of several classes of equal sets, the links of any of its texts count for all of these.
+    Empty input: no rows. Other columns of the input don't matter.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = cut(signed(plain, width))
@@ -126,65 +128,76 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return joined.select(F.col("r.id").alias("id"), F.col("r.n_shingles").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("r.id") == component_id, F.lit(False)).alias("kept"))
 
 
+LIST = ["coordinate", "value"]
+
+
+def _posted(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (rep, size, company, coordinate, value) of each representative's prefix, and its shared coordinates.
+
+    Lists of one member are left out, and representatives that share fewer than MATCHES coordinates with any others.
+    company is the sum of the logarithms of the lengths of a representative's lists. The second result (rep, tokens)
+    has a hash of each shared coordinate-value pair.
+    """
+    every = classes.select("rep", F.col("n_shingles").alias("size"), F.posexplode("signature").alias(*LIST))
+    lengths = every.groupBy(*LIST).agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") > 1)
+    shared = every.join(lengths, LIST)
+    lists = F.sort_array(F.collect_list(F.struct("length", *LIST)))  # COORDINATES at most
+    listed = shared.groupBy("rep", "size").agg(lists.alias("lists"), F.sum(F.log2("length")).alias("company"))
+    listed = cut(listed.filter(F.size("lists") >= MATCHES))
+    prefix = F.explode(F.slice("lists", F.lit(1), F.size("lists") - (MATCHES - 1))).alias("l")
+    tokens = F.transform("lists", lambda x: F.xxhash64(x["coordinate"], x["value"]))
+    return listed.select("rep", "size", "company", prefix).select("rep", "size", "company", "l.coordinate", "l.value"), listed.select("rep", tokens.alias("tokens"))
+
+
 def _components(classes: DataFrame, plain: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root: the component of each representative that has a link."""
-    members = classes.select("rep", "n_shingles", "signature")
-    prefix = COORDINATES - MATCHES + 1
-    posted = members.select("rep", F.posexplode(F.slice("signature", 1, prefix)).alias("coordinate", "value"))
-    # A hub for each list: another one for each coordinate, so that a document meets several.
-    rank = F.struct(F.xxhash64("coordinate", "rep").alias("order"), F.col("rep").alias("hub"))
-    lists = posted.groupBy("coordinate", "value").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("length")).filter(F.col("length") > 1)
-    lists = lists.select("coordinate", "value", F.col("first.hub").alias("hub"))
-    posted = cut(posted.join(lists, ["coordinate", "value"]))
-    hubs = posted.filter(F.col("rep") != F.col("hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    pairs = cut(_alike(hubs, members, percent))
-    needed = posted.select(F.col("rep").alias("id")).distinct()
-    # All that share a list with another, once each: a hub or a member may be paired in any of the rounds.
-    texts = plain.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = cut(texts)
-    # The most similar hub of each member comes first; most of the others then are in one component with it.
-    best = _best(pairs)
-    component = connected(cut(confirmed(best, texts, width, percent)))
-    apart = _between(pairs, component).join(best, ["a", "b"], "left_anti")
-    second = cut(_best(apart))
-    component = merged(component, cut(confirmed(second, texts, width, percent)))
-    tried = best.unionByName(second)
-    # What is left: pairs with further hubs, and members of a list that aren't paired through its hub.
-    apart = _between(pairs, component).join(tried, ["a", "b"], "left_anti")
-    labelled = posted.join(component, F.col("rep") == F.col("node"), "left").select("coordinate", "value", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed_lists = labelled.groupBy("coordinate", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("length")).filter((F.col("low") != F.col("high")) & (F.col("length") > 2)).select("coordinate", "value")
-    opened = labelled.join(mixed_lists, ["coordinate", "value"]).select("rep").union(apart.select(F.explode(F.array("a", "b")))).distinct()
-    left = cut(opened.join(component, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root")))
-    across = _in_reach(left.join(texts, F.col("rep") == F.col("id")).select("rep", "root", "text"), width, percent)
-    return merged(component, cut(confirmed(across.join(tried, ["a", "b"], "left_anti"), texts, width, percent)))
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, matches) each end's one of the most matches."""
-    both = pairs.select("matches", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("p.*", "matches")
-    best = both.groupBy("x").agg(F.max(F.struct("matches", F.xxhash64("x", "y").alias("any"), "y")).alias("m"))
-    return best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
-
-
-def _in_reach(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of docs (rep, root, text) of different roots that can have the similarity, found without loss.
+    posted, tokens = _posted(classes)
+    central = F.struct("company", F.xxhash64("rep"), F.col("rep").alias("hub"))
+    lists = posted.groupBy(*LIST).agg(F.max(central).alias("first"), F.count(F.lit(1)).alias("length")).filter(F.col("length") > 1)
+    posted = cut(posted.join(lists.select(*LIST, "length", F.col("first.hub").alias("hub")), LIST))
+    ids = cut(posted.select(F.col("rep").alias("id")).distinct())
+    sets = cut(shingle_sets(plain.join(few(ids), "id", "left_semi"), width).dropDuplicates(["id", "set_low", "set_high"]))
+    # Collisions with hubs: each document's most frequent one.
+    met = posted.filter(F.col("rep") != F.col("hub")).groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("collisions"))
+    best = met.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("collisions", F.xxhash64("hub"))).alias("b"))
+    best = cut(best)
+    component = connected(cut(confirmed(best, sets, percent)))
+    # Collisions across the components that still share lists.
+    rooted = posted.join(component, F.col("rep") == F.col("node"), "left").select(*LIST, "length", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    apart = rooted.groupBy(*LIST).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select(*LIST)
+    rooted = cut(rooted.join(apart, LIST))
+    pairs = _alike(_across(rooted.filter(F.col("length") <= SHORT), percent), tokens)
+    crowded = rooted.filter(F.col("length") > SHORT).select("rep", "root").distinct()
+    reached = _in_reach(crowded.join(sets, F.col("rep") == F.col("id")).select("rep", "root", "shingles"), percent)
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.unionByName(reached).distinct().join(tried, ["a", "b"], "left_anti")
+    return merged(component, cut(confirmed(pairs, sets, percent)))
+
+
+def _across(rooted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that meet in a list, of sizes that allow the similarity, and their collisions."""
+    p, q = (rooted.select(*LIST, *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "root")]) for x in "ab")
+    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    met = p.join(q, LIST).filter((F.col("rep_a") < F.col("rep_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    return met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
+
+
+def _alike(met: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The pairs (a, b, collisions) of MATCHES collisions or more, those in lists that were skipped counted."""
+    one, two = (tokens.select(F.col("rep").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    both = met.join(two, "b").join(one, "a")
+    return both.filter((F.col("collisions") >= MATCHES) | (F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES)).select("a", "b")
+
+
+def _in_reach(docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of docs (rep, root, shingles) of different roots that can have the similarity, found without loss.
 
     Each set is put in order from the shingle that fewest of these documents have to the most frequent one. A link needs
     a part of percent / (100 + percent) of both sizes in common; if the first common shingle is at places i and j of
     sets of m and n, at most the m - i and n - j behind them can be. So only early, rare shingles are joined, and
     documents of one family that were edited differently don't meet.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for begin, block in blocks(batch.column(2).to_pylist()):
-                hashes, of = distinct(*shingles(Words(block), width))
-                size = np.bincount(of, minlength=len(block))[of]
-                arrays = hashes.view(np.int64), ids[begin + of], roots[begin + of], size
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["shingle", "rep", "root", "size"])
-
-    rows = cut(docs.mapInArrow(run, "shingle long, rep long, root long, size long"))
+    rows = docs.select("rep", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
     order = Window.partitionBy("rep").orderBy("held", "shingle")
     placed = rows.join(held, "shingle").withColumn("rest", F.col("size") - F.row_number().over(order) + 1)
@@ -197,22 +210,6 @@ def _in_reach(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return met.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs with enough equal coordinates and sizes that allow the similarity, with the number of equal coordinates."""
-    a, b = (members.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(b, "b").join(a, "a")
-    equal = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda e: e))
-    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    return both.filter(fits).select("a", "b", equal.alias("matches")).filter(F.col("matches") >= MATCHES)
-
-
-def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """The pairs (a, b, matches) whose ends are in different components."""
-    a, b = (component.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    both = pairs.join(b, "b", "left").join(a, "a", "left")
-    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "matches")
-
-
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4).withColumnRenamed("id", "doc_id")
 
