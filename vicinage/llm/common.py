@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinage.functions.lineage import cut, few, shared_folder  # noqa: F401
+
 #: The separators of a word: space, and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -16,29 +16,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where the session has none, one in the warehouse.
-
-    A temporary folder is taken only where driver and executors are one local process.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="vicinage-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` (ids, materialised) marked for broadcast if it has no more than ``rows`` rows; else it is joined by shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def trimmed(text: Column) -> Column:
     """The text without separators at its ends; null becomes empty."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -9,11 +9,11 @@ in the lists are counted, and pairs of MATCHES collisions or more are confirmed
 * Skip: the lists that a document has left are not merged; a pair that met elsewhere is probed in them.
 
 Copies and families of near copies would make a list's pairs quadratic. Documents of equal sets are one class, of which
-only the representative is posted. Each list has a hub, its member with the most company over all its lists; collisions
-are counted with hubs first, and each document is confirmed with the hub that it meets most often. Only lists that then
-hold several components are merged further, and only pairs across components. In lists of more than SHORT members these
-would still be too many: there an exact join over the members' rarest shingles finds them (see :func:`_in_reach`), so
-no list has a bound beyond which links are lost.
+only the representative is posted. Each list has a hub, its member with the most company over all its lists (of equal
+ones that of most copies, as an original is): collisions are counted with hubs first, and each document is confirmed
+with the hub that it meets most often. Only lists that then hold several components are merged further, and only pairs
+across components. In lists of more than SHORT members these would still be too many: there an exact join over the
+members' rarest shingles finds them (see :func:`_in_reach`), so no list has a bound beyond which links are lost.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = cut(signed(plain, width))
-    classes = rows.filter(F.col("id").isNotNull() & F.col("signature").isNotNull()).groupBy("set_low", "set_high", "n_shingles").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
+    classes = rows.filter(F.col("id").isNotNull() & F.col("signature").isNotNull()).groupBy("set_low", "set_high", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
     classes = cut(classes)
     component = _components(classes, plain, width, percent)
     known = classes.join(component, F.col("rep") == F.col("node"), "left").select("set_low", "set_high", F.col("n_shingles").alias("size"), F.coalesce("root", "rep").alias("found"))
@@ -132,35 +132,34 @@ LIST = ["coordinate", "value"]
 
 
 def _posted(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (rep, size, company, coordinate, value) of each representative's prefix, and its shared coordinates.
+    """Postings (rep, size, copies, company, coordinate, value) of each representative's prefix, and its shared coordinates.
 
     Lists of one member are left out, and representatives that share fewer than MATCHES coordinates with any others.
     company is the sum of the logarithms of the lengths of a representative's lists. The second result (rep, tokens)
     has a hash of each shared coordinate-value pair.
     """
-    every = classes.select("rep", F.col("n_shingles").alias("size"), F.posexplode("signature").alias(*LIST))
+    every = classes.select("rep", F.col("n_shingles").alias("size"), "copies", F.posexplode("signature").alias(*LIST))
     lengths = every.groupBy(*LIST).agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") > 1)
     shared = every.join(lengths, LIST)
     lists = F.sort_array(F.collect_list(F.struct("length", *LIST)))  # COORDINATES at most
-    listed = shared.groupBy("rep", "size").agg(lists.alias("lists"), F.sum(F.log2("length")).alias("company"))
+    listed = shared.groupBy("rep", "size", "copies").agg(lists.alias("lists"), F.sum(F.log2("length")).alias("company"))
     listed = cut(listed.filter(F.size("lists") >= MATCHES))
     prefix = F.explode(F.slice("lists", F.lit(1), F.size("lists") - (MATCHES - 1))).alias("l")
     tokens = F.transform("lists", lambda x: F.xxhash64(x["coordinate"], x["value"]))
-    return listed.select("rep", "size", "company", prefix).select("rep", "size", "company", "l.coordinate", "l.value"), listed.select("rep", tokens.alias("tokens"))
+    return listed.select("rep", "size", "copies", "company", prefix).select("rep", "size", "copies", "company", "l.coordinate", "l.value"), listed.select("rep", tokens.alias("tokens"))
 
 
 def _components(classes: DataFrame, plain: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root: the component of each representative that has a link."""
     posted, tokens = _posted(classes)
-    central = F.struct("company", F.xxhash64("rep"), F.col("rep").alias("hub"))
+    central = F.struct("company", "copies", (-F.col("rep")).alias("back"))
     lists = posted.groupBy(*LIST).agg(F.max(central).alias("first"), F.count(F.lit(1)).alias("length")).filter(F.col("length") > 1)
-    posted = cut(posted.join(lists.select(*LIST, "length", F.col("first.hub").alias("hub")), LIST))
+    posted = cut(posted.join(lists.select(*LIST, "length", (-F.col("first.back")).alias("hub")), LIST))
     ids = cut(posted.select(F.col("rep").alias("id")).distinct())
     sets = cut(shingle_sets(plain.join(few(ids), "id", "left_semi"), width).dropDuplicates(["id", "set_low", "set_high"]))
     # Collisions with hubs: each document's most frequent one.
     met = posted.filter(F.col("rep") != F.col("hub")).groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("collisions"))
-    best = met.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("collisions", F.xxhash64("hub"))).alias("b"))
-    best = cut(best)
+    best = cut(met.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("collisions", -F.col("hub"))).alias("b")))
     component = connected(cut(confirmed(best, sets, percent)))
     # Collisions across the components that still share lists.
     rooted = posted.join(component, F.col("rep") == F.col("node"), "left").select(*LIST, "length", "rep", "size", F.coalesce("root", "rep").alias("root"))
