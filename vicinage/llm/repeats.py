@@ -4,12 +4,14 @@ A corpus position starts a suffix. Only suffixes at content-selected positions a
 positions the one whose word run hashes lowest, so that two copies of a passage keep the same ones. Suffixes are sorted
 by (digest of) their first words, and neighbours in that order are compared: a suffix whose beginning equals its
 neighbour's is a match. A match is extended left over the positions up to the suffix kept before it and right to the
-full length: every window of the passage length that has this suffix as its first kept one gets a digest of its own
-words, these are sorted, and a window that equals its neighbour repeats it. Hits are joined into passages.
+full length: every window of the passage length that has this suffix as its first kept one, so many words before it
+and the rest behind, gets a digest of its own words, these are sorted, and a window that equals its neighbour repeats
+it. Hits are joined into passages.
 
 Sorting is by range over (digest, document, position), so that occurrences of one frequent passage are dealt over many
 tasks; where a passage's first occurrence lies before a task's range, it comes from a table with one row a task.
-Digests have 64 bits. Equal texts are one document here: of later copies all is repeated.
+Digests of windows and of whole texts have 128 bits, and decide; those of suffixes, which have 64, only choose what is
+compared. Equal texts are one document here: of later copies all is repeated.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import cut, documents, n_words
+from vicinage.llm.common import cut, documents, few, n_words
 from vicinage.llm.kernel import U, Words, blocks, mixed, series
 
 LENGTH = 50
@@ -123,7 +125,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(docs: DataFrame, length: int, select: int) -> DataFrame:
-    """digest, doc, start of every window of ``docs`` (doc, text, places) whose kept suffix is at one of the places."""
+    """low, high (128-bit digest), doc, start of every window of ``docs`` (doc, text, places) whose kept suffix is at one of the places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,25 +141,24 @@ def _windows(docs: DataFrame, length: int, select: int) -> DataFrame:
                     wanted[before[k] + np.array(places[begin + k], np.int64)] = True
                 window = window[wanted[suffix]]
                 of = words.of[window]
-                arrays = _window_hash(words, length, 23)[window].view(np.int64), doc[begin + of], window - before[of]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["digest", "doc", "start"])
+                arrays = *(_window_hash(words, length, salt)[window].view(np.int64) for salt in (23, 24)), doc[begin + of], window - before[of]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["low", "high", "doc", "start"])
 
-    return docs.select("doc", "text", "places").mapInArrow(run, "digest long, doc long, start long")
+    return docs.select("doc", "text", "places").mapInArrow(run, "low long, high long, doc long, start long")
 
 
-COMPARED = "kind int, task int, doc long, start long, first_doc long, first_start long, low long, high long"
+COMPARED = "kind int, task int, doc long, start long, first_doc long, first_start long, begin_low long, begin_high long, end_low long, end_high long"
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (digest, doc, start) those that repeat an earlier one, with the first one of their digest.
+    """Of rows in order of (low, high, doc, start) those that repeat an earlier one, with the first one of their digest.
 
     kind 0: a row whose first one is in this task. kind 1: a row of the task's first digest, which may have begun
-    before; its first row, too. kind 2: one row a task with its first and last digest (low, high) and the first row of
-    the last digest.
+    before; its first row, too. kind 2: one row a task with its first and last digest and the first row of the last one.
     """
     from pyspark import TaskContext
 
-    task, held, low, only = TaskContext.get().partitionId(), None, None, True
+    task, held, begun, only = TaskContext.get().partitionId(), None, None, True
 
     def rows(kind: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         arrays = [pa.array(kind, pa.int32()), pa.array(np.full(len(kind), task), pa.int32()), *(pa.array(c, pa.int64()) for c in columns)]
@@ -168,33 +169,34 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(own[0]):
             continue
         fresh = held is None
-        digest, doc, start = own if fresh else [np.concatenate([h, a]) for h, a in zip(held, own, strict=True)]
-        low = digest[0] if fresh else low
-        begin = np.ones(len(digest), bool)
-        begin[1:] = digest[1:] != digest[:-1]
-        at = np.maximum.accumulate(np.where(begin, np.arange(len(digest)), 0))
-        head = (digest == low) & only
+        low, high, doc, start = own if fresh else [np.concatenate([h, a]) for h, a in zip(held, own, strict=True)]
+        begun = (low[0], high[0]) if fresh else begun
+        begin = np.ones(len(low), bool)
+        begin[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        at = np.maximum.accumulate(np.where(begin, np.arange(len(low)), 0))
+        head = (low == begun[0]) & (high == begun[1]) & only
         only = bool(head[-1])
         given = ~begin | head
         given[0] &= fresh  # the held first row of the last digest was dealt with before
         none = np.zeros(int(given.sum()), np.int64)
-        yield rows(np.where(head, 1, 0)[given], doc[given], start[given], doc[at][given], start[at][given], none, none)
-        held = [a[at[-1] : at[-1] + 1] for a in (digest, doc, start)]
+        yield rows(np.where(head, 1, 0)[given], doc[given], start[given], doc[at][given], start[at][given], none, none, none, none)
+        held = [a[at[-1] : at[-1] + 1] for a in (low, high, doc, start)]
     if held is not None:
-        yield rows(np.array([2]), held[1], held[2], held[1], held[2], np.array([low]), held[0])
+        yield rows(np.array([2]), held[2], held[3], held[2], held[3], np.array([begun[0]]), np.array([begun[1]]), held[0], held[1])
 
 
 def _first_of_all(compared: DataFrame) -> DataFrame:
     """doc, start, first_doc: the windows that repeat an earlier one; heads of tasks get the first row of a task before."""
     spark = compared.sparkSession
-    ends = compared.filter(F.col("kind") == 2).select("task", "low", "high", "first_doc", "first_start").orderBy("task").collect()  # one row a task
+    ends = compared.filter(F.col("kind") == 2).select("task", F.struct("begin_low", "begin_high").alias("low"), F.struct("end_low", "end_high").alias("high"), "first_doc", "first_start").orderBy("task").collect()  # one row a task
     carried, known = None, []
     for end in ends:
-        if carried is not None and carried[0] == end["low"]:
+        low, high = tuple(end["low"]), tuple(end["high"])
+        if carried is not None and carried[0] == low:
             known.append((end["task"], carried[1], carried[2]))
-            if end["high"] == end["low"]:
+            if high == low:
                 continue
-        carried = (end["high"], end["first_doc"], end["first_start"])
+        carried = (high, end["first_doc"], end["first_start"])
     table = spark.createDataFrame(known, "task int, carried_doc long, carried_start long")
     found = compared.filter(F.col("kind") < 2).join(F.broadcast(table), "task", "left")  # at most one row a task
     from_before = (F.col("kind") == 1) & F.col("carried_doc").isNotNull()
@@ -216,12 +218,12 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, select: int = SELEC
     without an id are left out. Of rows with one id and one text, one counts; one id with several texts is taken as
     several documents of that id. No rows in, none out; other columns don't matter.
     """
-    plain = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
+    plain = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"), F.xxhash64(F.lit("copy"), F.col(text_col)).alias("copy_high"))
     matched = _sorted(_suffixes(plain, length, select), "key long, place long, copy long, doc long", _matched, "key", "place", "copy", "doc").select("doc", "copy", "place")
     places = matched.groupBy("doc", "copy").agg(F.collect_set("place").alias("places"))  # of one text
-    found = plain.dropDuplicates(["doc", "copy"]).join(places, ["doc", "copy"])
+    found = plain.dropDuplicates(["doc", "copy", "copy_high"]).join(places, ["doc", "copy"])
     windows = _windows(found, length, select)
-    compared = cut(_sorted(windows, COMPARED, _compared, "digest", "doc", "start"))
+    compared = cut(_sorted(windows, COMPARED, _compared, "low", "high", "doc", "start"))
     repeated = _first_of_all(compared)
     order = Window.partitionBy("doc").orderBy("start")
     fresh = F.coalesce((F.col("start") > F.lag("start").over(order) + length).cast("int"), F.lit(0))
@@ -229,10 +231,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, select: int = SELEC
     islands = islands.withColumn("island", F.sum("fresh").over(order))
     passages = islands.groupBy("doc", "island").agg(F.min("start").alias("start_word"), (F.max("start") - F.min("start") + length).alias("n_words"), F.min_by("first_doc", "start").alias("earlier_doc_id"))
     passages = passages.select(F.col("doc").alias("doc_id"), "start_word", "n_words", "earlier_doc_id")
-    # Later copies of a whole text.
-    sized = plain.select("doc", "copy", n_words(F.col("text")).alias("n_words")).filter(F.col("n_words") >= length)
-    first = sized.groupBy("copy").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    copies = sized.join(first.drop("n"), "copy").filter(F.col("doc") > F.col("first_doc"))
+    # Later copies of a whole text; words are counted in the first one only.
+    same = ["copy", "copy_high"]
+    first = cut(plain.groupBy(*same).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n"))
+    sized = plain.join(few(first), [*same, "doc"]).groupBy(*same).agg(F.min("doc").alias("first_doc"), F.min(n_words(F.col("text"))).alias("n_words")).filter(F.col("n_words") >= length)
+    copies = plain.drop("text").join(few(cut(sized)), same).filter(F.col("doc") > F.col("first_doc"))
     copies = copies.select(F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), "n_words", F.col("first_doc").alias("earlier_doc_id")).distinct()
     return passages.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(copies)
 
