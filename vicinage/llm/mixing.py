@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from vicinage.llm.common import cut, documents, hash32, n_words
 
-#: Finish times up to 2 are told apart in so many buckets before the order within one bucket is looked at.
-BUCKETS = 1 << 14
 #: Documents, about, of a source whose running sum is taken in one window.
 RUN = 4096
 #: Times that a document is queued, and the most of a source's size that its target can be.
@@ -83,8 +81,9 @@ def _last_taken(queued: DataFrame, budget: float, id_col: str):
     """Position (a struct literal) of the last item within the budget in the order of finish times; None: there is none."""
     item = lambda c: F.struct(F.col(c).alias("finish"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), F.col("_at").alias("at"), F.col(id_col).alias("id"), F.col("size").alias("size"))
     items = cut(queued.filter(F.col("size") > 0).select(F.explode(F.array(item("_first"), item("_second"))).alias("i")).select("i.*"))
-    bucket = F.floor(F.least(F.col("finish"), F.lit(2.0)) * BUCKETS)
-    items = items.withColumn("bucket", bucket)
+    # So many buckets that the one at the edge, which is sorted, has about RUN items.
+    buckets = max(1, items.count() // RUN)
+    items = items.withColumn("bucket", F.floor(F.least(F.col("finish"), F.lit(2.0)) * buckets))
     sums = items.groupBy("bucket").agg(F.sum("size").alias("words"))
     running = F.sum("words").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sums = sums.withColumn("upto", running)
