@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions.hashing import feature_id, text_hash
-from vicinage.operators.neighborhoods import both_ways, distances, neighborhoods, simple_edges, weighted_graphs, with_columns
+from vicinage.operators.neighborhoods import both_ways, neighborhoods, simple_edges, surroundings, weighted_graphs, with_columns
 from vicinage.operators.options import GraphOptions
 
 
@@ -29,11 +29,11 @@ def _prepared(vertices: DataFrame, edges: DataFrame, options: GraphOptions) -> t
 
 
 def rooted_features(vertices: DataFrame, edges: DataFrame, options: GraphOptions) -> DataFrame:
-    """graph_id, vid (the pair's first vertex), r, d, feature, value: summed counts or weights, not normalised."""
+    """graph_id, vid (the pair's first vertex), r, d, feature, value: counts or weights to be summed, not normalised."""
     r, d = options.radius, options.distance
     vertices, edges, weighted = _prepared(vertices, edges, options)
-    found, met = distances(vertices, edges, max(r, d))
-    near = neighborhoods(vertices, edges, found, met, r, options.nbits, options.positional, weighted)
+    found, items = surroundings(vertices, edges, max(r, d), r, options.nbits, options.positional)
+    near = neighborhoods(items, r, weighted)
     span = found.filter(F.col("hops").between(options.min_d, d))
     pairs = span.select("graph_id", F.col("root").alias("v"), F.col("vid").alias("u"), F.col("hops").alias("d"), F.lit(1.0).alias("cw"))
     if "nesting" in edges.columns:
@@ -59,8 +59,9 @@ def rooted_features(vertices: DataFrame, edges: DataFrame, options: GraphOptions
     pair = F.struct(feature_id(options.nbits, F.least("a", "b"), F.greatest("a", "b"), twice_r, twice_d).alias("feature"), full.alias("value"))
     kinds = F.array(context) if options.use_only_context else F.array(pair, context)
     rows = rows.filter(full != 0).select("graph_id", "vid", "r", "d", F.explode(kinds).alias("f")).select("graph_id", "vid", "r", "d", "f.feature", "f.value")
-    rows = rows.groupBy("graph_id", "vid", "r", "d", "feature").agg(F.sum("value").alias("value"))
-    return rows if options.discrete else _lifted(rows, vertices, options)
+    if options.discrete:
+        return rows
+    return _lifted(rows.groupBy("graph_id", "vid", "r", "d", "feature").agg(F.sum("value").alias("value")), vertices, options)
 
 
 def _lifted(rows: DataFrame, vertices: DataFrame, options: GraphOptions) -> DataFrame:
@@ -83,9 +84,15 @@ def _lifted(rows: DataFrame, vertices: DataFrame, options: GraphOptions) -> Data
 
 
 def normalized(rows: DataFrame, keys: list[str], options: GraphOptions) -> DataFrame:
-    """keys, feature, value after the norm of each (r, d) and the norm of each instance; 0 where a norm is 0."""
+    """keys, feature, value after the norm of each (r, d) and the norm of each instance; 0 where a norm is 0.
+
+    Sums are shuffled by feature, so an instance of most of the rows is spread; its different features, at most
+    2 ** nbits for each (r, d), then meet by instance for all that follows.
+    """
     ratio = lambda value, norm: F.when(norm > 0, value / norm).otherwise(0.0)
     rows = rows.groupBy(*keys, "r", "d", "feature").agg(F.sum("value").alias("value"))
+    if options.inner_normalization or options.normalization:
+        rows = rows.repartition(*keys)
     if options.inner_normalization:
         rows = rows.withColumn("value", ratio(F.col("value"), F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*keys, "r", "d")))))
         buckets = options.bucket_weights

@@ -27,7 +27,7 @@ def degree_filter(vertices: DataFrame, edges: DataFrame, threshold: int, at_leas
 
 def path_lengths(vertices: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """graph_id, root, vid, hops of all pairs up to ``depth`` hops apart."""
-    return distances(vertices, simple_edges(edges).withColumn("nesting", F.lit(False)), depth)[0]
+    return distances(vertices, simple_edges(edges).withColumn("nesting", F.lit(False)), depth)
 
 
 def non_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinage.functions.hashing import list_hash, text_hash
+from vicinage.functions.lineage import cut
 
 KEYS = ["graph_id", "root"]
 
@@ -34,27 +35,64 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", "u", "v", ends, *[c for c in edges.columns if c not in ("graph_id", "u", "v")]).select("graph_id", "u", "v", "ends.a", "ends.b", *[c for c in edges.columns if c not in ("graph_id", "u", "v")])
 
 
-def distances(vertices: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Breadth-first search from every vertex over edges that don't nest.
+def distances(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """graph_id, root, vid, hops up to ``depth`` hops from the roots (graph_id, vid) over edges that don't nest.
 
-    Returns (graph_id, root, vid, hops) up to ``depth`` hops, and (graph_id, root, u, v, shell) of the edges met on
-    the way. A new frontier can only meet the last two, so only these are taken out of it.
+    A new frontier can only meet the last two, so only these are taken out of it. Each level is cut off from the plan
+    of those before it, and the search ends with the first empty one.
     """
-    steps = both_ways(edges.filter(~F.col("nesting"))).select("graph_id", "u", "v", F.col("a").alias("vid"), F.col("b").alias("next"))
-    level = vertices.select("graph_id", F.col("vid").alias("root"), "vid")
-    levels, met = [level.withColumn("hops", F.lit(0))], []
-    before = None
+    steps = both_ways(edges.filter(~F.col("nesting"))).select("graph_id", F.col("a").alias("vid"), F.col("b").alias("next"))
+    level = roots.select("graph_id", F.col("vid").alias("root"), "vid")
+    levels, before = [level.withColumn("hops", F.lit(0))], None
     for hop in range(depth):
-        taken = level.join(steps, ["graph_id", "vid"])
-        met.append(taken.select(*KEYS, "u", "v", F.lit(2 * hop + 1).alias("shell")))
         seen = level if before is None else level.unionByName(before)
-        fresh = taken.select(*KEYS, F.col("next").alias("vid")).distinct().join(seen, [*KEYS, "vid"], "left_anti")
+        fresh = level.join(steps, ["graph_id", "vid"]).select(*KEYS, F.col("next").alias("vid")).distinct().join(seen, [*KEYS, "vid"], "left_anti")
         before, level = level, fresh
+        if 0 < hop < depth - 1:
+            level = cut(fresh)
+            if level.isEmpty():
+                break
+        levels.append(level.withColumn("hops", F.lit(hop + 1)))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def surroundings(vertices: DataFrame, edges: DataFrame, depth: int, radius: int, nbits: int, positional: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first search from every vertex over edges that don't nest. Both ends of an edge must be vertices.
+
+    Returns (graph_id, root, vid, hops) up to ``depth`` hops, and the items of the shells up to twice the radius:
+    (graph_id, root, shell, h, weight) of the vertices and edges there. What an item needs comes with the step to it, so
+    nothing is joined to the rows found. An item is a label with its vertex's degree (2 for an edge), or with its place
+    before the root if positional.
+    """
+    label = text_hash(F.col("label")).bitwiseAND((1 << nbits) - 1) + 1
+    marked = lambda mark: label if positional else text_hash(label, mark)
+    degree = both_ways(edges).groupBy("graph_id", F.col("a").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
+    own = vertices.join(degree, ["graph_id", "vid"], "left").select("graph_id", "vid", marked(F.coalesce("degree", F.lit(0))).alias("h"), "weight")
+    passed = ["u", "v", "edge_h", "edge_weight", *(["eid"] if positional else [])]
+    lines = edges.filter(~F.col("nesting")).select("graph_id", "u", "v", marked(F.lit(2)).alias("edge_h"), F.col("weight").alias("edge_weight"), *(["eid"] if positional else []))
+    steps = both_ways(lines).withColumnsRenamed({"a": "vid", "b": "next"}).join(own.withColumnRenamed("vid", "next"), ["graph_id", "next"])
+    level = own.select("graph_id", F.col("vid").alias("root"), "vid", "h", "weight")
+    levels, met, before = [level.withColumn("hops", F.lit(0))], [], None
+    for hop in range(depth):
+        near = steps.withColumn("root", F.col("vid")) if hop == 0 else level.select(*KEYS, "vid").join(steps, ["graph_id", "vid"])
+        if hop < radius:
+            met.append(near.select(*KEYS, *passed, F.lit(2 * hop + 1).alias("shell")))
+        fresh = near.select(*KEYS, F.col("next").alias("vid"), "h", "weight")
+        if hop > 0:
+            seen = level.unionByName(before).select(*KEYS, "vid")
+            fresh = fresh.distinct().join(seen, [*KEYS, "vid"], "left_anti")
+        before, level = level, cut(fresh) if 0 < hop < depth - 1 else fresh
         levels.append(level.withColumn("hops", F.lit(hop + 1)))
     found = reduce(DataFrame.unionByName, levels)
-    if not met:
-        return found, found.select(*KEYS, F.col("vid").alias("u"), F.col("vid").alias("v"), F.lit(1).alias("shell")).limit(0)
-    return found, reduce(DataFrame.unionByName, met).groupBy(*KEYS, "u", "v").agg(F.min("shell").alias("shell"))
+    node = text_hash(F.col("h"), F.col("root") - F.col("vid")) if positional else F.col("h")
+    items = found.filter(F.col("hops") <= radius).select(*KEYS, (2 * F.col("hops")).alias("shell"), node.alias("h"), "weight")
+    if met:
+        edge = text_hash(F.col("edge_h"), F.col("root") - F.col("eid")) if positional else F.col("edge_h")
+        between = reduce(DataFrame.unionByName, met)
+        if len(met) > 1:  # an edge is met again from its farther end
+            between = between.groupBy(*KEYS, *passed).agg(F.min("shell").alias("shell"))
+        items = items.unionByName(between.select(*KEYS, "shell", edge.alias("h"), F.col("edge_weight").alias("weight")))
+    return found.select(*KEYS, "vid", "hops"), items
 
 
 def weighted_graphs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,33 +101,23 @@ def weighted_graphs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.filter(has).select("graph_id").union(edges.filter(has).select("graph_id")).distinct()
 
 
-def neighborhoods(vertices: DataFrame, edges: DataFrame, found: DataFrame, met: DataFrame, radius: int, nbits: int, positional: bool = False, weights: bool = False) -> DataFrame:
+def neighborhoods(items: DataFrame, radius: int, weights: bool = False) -> DataFrame:
     """graph_id, root and arrays over radius 0..r: ``hashes`` and, with ``weights``, ``sizes``; null where the search ends before.
 
-    A shell's hash is that of its items' sorted hashes, a neighbourhood's that of the shells up to twice the radius. An
-    item is a label with its vertex's degree (2 for an edge), or with its place before the root if positional.
+    A shell's hash is that of its items' sorted hashes, a neighbourhood's that of the shells up to twice the radius.
     """
-    label = lambda c: text_hash(c).bitwiseAND((1 << nbits) - 1) + 1
-    degree = both_ways(edges).groupBy("graph_id", F.col("a").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
-    own = vertices.join(degree, ["graph_id", "vid"], "left").select("graph_id", "vid", label(F.col("label")).alias("hl"), F.coalesce("degree", F.lit(0)).alias("degree"), "weight")
-    lines = edges.select("graph_id", "u", "v", label(F.col("label")).alias("hl"), "weight", *(["eid"] if positional else []))
-    node_mark = F.col("root") - F.col("vid") if positional else F.col("degree")
-    edge_mark = F.col("root") - F.col("eid") if positional else F.lit(2)
-    nodes = found.join(own, ["graph_id", "vid"]).select(*KEYS, (2 * F.col("hops")).alias("shell"), text_hash(F.col("hl"), node_mark).alias("h"), "weight")
-    passed = met.join(lines, ["graph_id", "u", "v"]).select(*KEYS, "shell", text_hash(F.col("hl"), edge_mark).alias("h"), "weight")
-    items = nodes.unionByName(passed).filter(F.col("shell") <= 2 * radius)
-    sums = [F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("weight") > 0, F.ln("weight"))).alias("logs"), F.min("weight").alias("low")] if weights else []
-    shells = items.groupBy(*KEYS, "shell").agg(list_hash(F.sort_array(F.collect_list("h"))).alias("h"), *sums)
-    names = ["shell", "h", *(["total", "n", "logs", "low"] if weights else [])]
-    roots = shells.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("shells"))
-    upto = lambda k: F.slice("shells", 1, 2 * k + 1)
-    reached = lambda k: F.size("shells") > 2 * k
-    hashes = F.array(*[F.when(reached(k), list_hash(F.transform(upto(k), lambda s: s["h"]))) for k in range(radius + 1)])
+    item = F.struct("shell", "h", *(["weight"] if weights else []))
+    roots = items.groupBy(*KEYS).agg(F.sort_array(F.collect_list(item)).alias("items"))  # of one neighbourhood
+    shell = lambda k: list_hash(F.transform(F.filter("items", lambda i: i["shell"] == k), lambda i: i["h"]))
+    roots = roots.withColumns({"last": F.element_at("items", -1)["shell"], "shells": F.array(*map(shell, range(2 * radius + 1)))})
+    reached = lambda k, value: F.when(F.col("last") >= 2 * k, value)
+    hashes = F.array(*[reached(k, list_hash(F.slice("shells", 1, 2 * k + 1))) for k in range(radius + 1)])
     if not weights:
         return roots.select(*KEYS, hashes.alias("hashes"))
-    part = lambda k, odd: F.filter(upto(k), lambda s: s["shell"] % 2 == odd)
-    add = lambda a, name, start: F.aggregate(a, F.lit(float(start)), lambda t, s: t + F.coalesce(s[name].cast("double"), F.lit(0.0)))
-    root_weight = F.col("shells")[0]["total"]
-    size = lambda k: (root_weight + add(part(k, 0), "total", 0)) / (1 + add(part(k, 0), "n", 0)) * F.when(F.exists(part(k, 1), lambda s: s["low"] == 0), 0.0).otherwise(F.exp(add(part(k, 1), "logs", 0) / (1 + add(part(k, 1), "n", 0))))
-    sizes = F.array(*[F.when(reached(k), size(k)) for k in range(radius + 1)])
+    part = lambda k, odd: F.transform(F.filter("items", lambda i: (i["shell"] <= 2 * k) & (i["shell"] % 2 == odd)), lambda i: i["weight"])
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
+    logs = lambda values: total(F.transform(values, lambda x: F.when(x > 0, F.ln(x))))
+    root_weight = F.col("items")[0]["weight"]
+    size = lambda nodes, edges: (root_weight + total(nodes)) / (1 + F.size(nodes)) * F.when(F.array_min(edges) == 0, 0.0).otherwise(F.exp(logs(edges) / (1 + F.size(edges))))
+    sizes = F.array(*[reached(k, size(part(k, 0), part(k, 1))) for k in range(radius + 1)])
     return roots.select(*KEYS, hashes.alias("hashes"), sizes.alias("sizes"))
