@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinage.operators.neighborhoods import distances, simple_edges
-from vicinage.operators.sampling import drawn
+from vicinage.operators.sampling import drawn, placed
 from vicinage.operators.statistics import degrees
 
 
@@ -39,11 +39,9 @@ def non_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def link_split(vertices: DataFrame, edges: DataFrame, test_proportion: float = 0.3, ratio: int = 10, seed: int = 1) -> DataFrame:
     """graph_id, u, v, y, is_test: edges (1) and at most ratio times as many non-edges (0), drawn by hash, split each class."""
     positive = simple_edges(edges).select("graph_id", "u", "v", F.lit(1).alias("y"))
-    order = Window.partitionBy("graph_id").orderBy(drawn(seed, "graph_id", "u", "v"), "u", "v")
     allowed = positive.groupBy("graph_id").agg((F.count(F.lit(1)) * ratio).alias("most"))
-    negative = non_edges(vertices, edges).withColumn("place", F.row_number().over(order)).join(allowed, "graph_id").filter("place <= most").select("graph_id", "u", "v", F.lit(0).alias("y"))
-    split = Window.partitionBy("graph_id", "y")
-    rows = positive.unionByName(negative).withColumn("place", F.row_number().over(split.orderBy(drawn(f"{seed}s", "graph_id", "u", "v"), "u", "v"))).withColumn("total", F.count(F.lit(1)).over(split))
+    negative = placed(non_edges(vertices, edges), drawn(seed, "graph_id", "u", "v"), ["u", "v"], "graph_id").join(allowed, "graph_id").filter("place <= most").select("graph_id", "u", "v", F.lit(0).alias("y"))
+    rows = placed(positive.unionByName(negative), drawn(f"{seed}s", "graph_id", "u", "v"), ["u", "v"], "graph_id", "y")
     return rows.select("graph_id", "u", "v", "y", (F.col("place") <= F.floor(F.col("total") * test_proportion)).alias("is_test"))
 
 

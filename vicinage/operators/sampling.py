@@ -12,21 +12,37 @@ def drawn(seed: int | str, *ids: str) -> Column:
     return text_hash(F.lit(str(seed)), *map(F.col, ids))
 
 
-def ranked(df: DataFrame, key: str, seed: int | str, *within: str) -> DataFrame:
-    """``df`` with place (1, 2, ...) in shuffled order and total, in each group of ``within``.
+def placed(df: DataFrame, at: Column, ties: list[str], *within: str) -> DataFrame:
+    """``df`` with place (1, 2, ...) in order of the 32-bit hash ``at`` and total, in each group of ``within``.
 
-    Without groups the places come from hash buckets whose sizes are summed up, so no task sorts all rows.
+    Places come from hash buckets whose sizes are summed up by group, so no task sorts all rows of a group.
     """
-    at = drawn(seed, key)
-    if within:
-        own = Window.partitionBy(*within)
-        return df.withColumn("place", F.row_number().over(own.orderBy(at, key))).withColumn("total", F.count(F.lit(1)).over(own))
     rows = df.withColumn("_at", at).withColumn("_bucket", F.shiftright("_at", 20))
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("total", F.sum("_n").over(Window.partitionBy()))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_at", key))
-    return rows.join(sizes, "_bucket").withColumn("place", place).drop("_at", "_bucket", "_n", "_before")
+    sizes = rows.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*within)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("total", F.sum("_n").over(group))
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in within], F.col("_bucket").alias("_of"), "_before", "total")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in within] + [F.col("_bucket") == F.col("_of")]
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy("_at", *ties))
+    return rows.join(sizes, same).withColumn("place", place).select(*df.columns, "place", "total")
+
+
+def ranked(df: DataFrame, key: str, seed: int | str, *within: str) -> DataFrame:
+    """``df`` with place and total in shuffled order of the keys, in each group of ``within``."""
+    return placed(df, drawn(seed, key), [key], *within)
+
+
+def first_of_each(df: DataFrame, group: str, most: Column, *order: Column) -> DataFrame:
+    """The first rows in order of each group, at most ``most`` (an expression of the row's columns) of them.
+
+    Ranked in parts by a hash first: what is not among the first of its part isn't of the group either. So one task
+    holds the first rows of the parts, not the group.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if "map" not in dict(df.dtypes)[c]]), F.lit(64))
+    inner = Window.partitionBy(group, "_part").orderBy(*order)
+    rows = df.withColumn("_part", part).withColumn("_place", F.row_number().over(inner)).filter(F.col("_place") <= most)
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_place") <= most).drop("_part", "_place")
 
 
 def bipartition(df: DataFrame, key: str, relative_size: float = 0.7, seed: int | str = 0) -> DataFrame:
@@ -42,17 +58,17 @@ def train_test_split(df: DataFrame, key: str, label: str, test_proportion: float
 def subsample(df: DataFrame, key: str, label: str, size: int = 100) -> DataFrame:
     """The first rows by key of each class, size // number of classes of them."""
     classes = df.agg(F.countDistinct(label).alias("_classes"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(key))
-    return df.withColumn("_place", place).crossJoin(F.broadcast(classes)).filter(F.col("_place") <= F.floor(size / F.greatest("_classes", F.lit(1)))).drop("_place", "_classes")  # one row
+    rows = df.crossJoin(F.broadcast(classes))  # one row
+    return first_of_each(rows, label, F.floor(size / F.greatest("_classes", F.lit(1))), F.col(key)).drop("_classes")
 
 
 def balance(df: DataFrame, key: str, label: str, margin: str, ratio: float = 2.0) -> DataFrame:
     """All rows of the smallest class and, of each other one, the int(its size * ratio) rows of the smallest |margin|; ties by key."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_first", F.row_number().over(Window.orderBy("_n", label)) == 1).withColumn("_least", F.min("_n").over(Window.partitionBy()))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.abs(F.col(margin)), key))
-    rows = df.withColumn("_place", place).join(sizes, label)
-    return rows.filter(F.col("_first") | (F.col("_place") <= F.floor(F.col("_least") * ratio))).drop("_n", "_first", "_least", "_place")
+    rows, extra = df.join(F.broadcast(sizes), label), ("_n", "_first", "_least")  # one row a class
+    others = first_of_each(rows.filter(~F.col("_first")), label, F.floor(F.col("_least") * ratio), F.abs(F.col(margin)), F.col(key))
+    return rows.filter("_first").unionByName(others).drop(*extra)
 
 
 def selected(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
