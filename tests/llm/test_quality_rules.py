@@ -39,7 +39,9 @@ def test_no_labels_and_no_rows(spark, odd, none):
 def test_rules_find_low_quality_and_keep_clean_documents(spark, medium):
     found = Q.op1_quality_rules(spark, medium).join(spark.read.parquet(f"{medium}/labels.parquet"), "doc_id")
     row = found.agg(F.avg(F.when(F.col("quality") == 1, (~F.col("rule").isNotNull()).cast("int"))).alias("clean"), F.avg((F.col("kept") == (F.col("quality") == 1)).cast("int")).alias("right")).first()
-    assert row["clean"] > 0.97
+    assert row["clean"] > 0.97 and row["right"] > 0.6
+    rules = Q.learned(spark, spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet"))
+    assert rules and all(rules)
 
 
 def test_only_built_in_expressions(spark, small):

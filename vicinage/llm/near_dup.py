@@ -135,14 +135,15 @@ def _posted(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings (rep, size, copies, company, coordinate, value) of each representative's prefix, and its shared coordinates.
 
     Lists of one member are left out, and representatives that share fewer than MATCHES coordinates with any others.
-    company is the sum of the logarithms of the lengths of a representative's lists. The second result (rep, tokens)
+    company is the sum of the logarithms of the lengths of a representative's lists, rounded: the order of sums must not
+    tell equal ones apart. The second result (rep, tokens)
     has a hash of each shared coordinate-value pair.
     """
     every = classes.select("rep", F.col("n_shingles").alias("size"), "copies", F.posexplode("signature").alias(*LIST))
     lengths = every.groupBy(*LIST).agg(F.count(F.lit(1)).alias("length")).filter(F.col("length") > 1)
     shared = every.join(lengths, LIST)
     lists = F.sort_array(F.collect_list(F.struct("length", *LIST)))  # COORDINATES at most
-    listed = shared.groupBy("rep", "size", "copies").agg(lists.alias("lists"), F.sum(F.log2("length")).alias("company"))
+    listed = shared.groupBy("rep", "size", "copies").agg(lists.alias("lists"), F.round(F.sum(F.log2("length")), 6).alias("company"))
     listed = cut(listed.filter(F.size("lists") >= MATCHES))
     prefix = F.explode(F.slice("lists", F.lit(1), F.size("lists") - (MATCHES - 1))).alias("l")
     tokens = F.transform("lists", lambda x: F.xxhash64(x["coordinate"], x["value"]))
