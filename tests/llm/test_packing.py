@@ -76,3 +76,56 @@ def test_no_limit_is_passed():
         assert (of[rows] == k).all() and (demand[rows].sum(axis=0) <= limits).all()
     with pytest.raises(ValueError):
         P.place(np.array([[101, 1, 1]]), limits)
+
+
+def plain_place(demand, limits):
+    """Bins by the dot-product heuristic, row by row; of equal demands any row."""
+    left, bins = [tuple(map(int, d)) for d in demand], []
+    while left:
+        room, own = list(map(float, limits)), []
+        while True:
+            fits = sorted({d for d in left if all(x <= r for x, r in zip(d, room, strict=True))})
+            if not fits:
+                break
+            dot = lambda d: sum((x / m) * (r / m) for x, r, m in zip(d, room, limits, strict=True))  # noqa: B023, E731
+            best = max(fits, key=lambda d: (round(dot(d), 9), [-x for x in d]))
+            left.remove(best)
+            own.append(best)
+            room = [r - x for r, x in zip(room, best, strict=True)]
+        bins.append(sorted(own))
+    return bins
+
+
+def test_placing_equals_plain_heuristic():
+    pick = np.random.default_rng(3)
+    for limits in ([100, 8, 60], [64, 4, 20]):
+        length = pick.integers(1, 50, 120)
+        demand = np.stack([length, np.ones(120, int), np.minimum(pick.integers(0, 50, 120), np.minimum(length, limits[2]))], axis=1)
+        of, bins = P.place(demand, np.array(limits))
+        assert [sorted(tuple(map(int, demand[k])) for k in rows) for rows in bins] == plain_place(demand, limits)
+        assert all((demand[rows].sum(axis=0) <= limits).all() for rows in bins)
+
+
+def test_loss_limit_binds(spark):
+    """Half of each document is prompt; sequences take no more than 300 loss tokens though 1024 tokens fit."""
+    docs = spark.createDataFrame([(k, "word " * (40 + k % 700), 20 + k % 350) for k in range(300)], "doc_id long, text string, prompt_tokens long")
+    cut = P.pieces(docs, max_loss=300).cache()
+    packed = P.pack(cut, max_loss=300)
+    joined = packed.join(cut.select("doc_id", "start", "loss_tokens"), ["doc_id", "start"])
+    sums = joined.groupBy("sequence_id").agg({"loss_tokens": "sum", "length": "sum"}).collect()
+    assert max(r["sum(loss_tokens)"] for r in sums) > 290 and all(r["sum(loss_tokens)"] <= 300 and r["sum(length)"] <= 1024 for r in sums)
+    whole = cut.groupBy("doc_id", "doc_tokens").agg({"length": "sum", "loss_tokens": "sum"}).collect()
+    asked = {k: 20 + k % 350 for k in range(300)}
+    assert all(r["sum(length)"] == r["doc_tokens"] and r["sum(loss_tokens)"] == r["doc_tokens"] - 1 - asked[r["doc_id"]] for r in whole)
+
+
+def test_ids_equal_the_tokenizers_file():
+    """Every text of the larger table gives the ids of the file that the contract names."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    files = P.tokenizer_files()
+    encode, exact = P._encoder(*files), Tokenizer.from_file(files[0])
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for text, found in zip(texts, exact.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == found.ids

@@ -1,7 +1,7 @@
 """Packing documents into fixed-length training sequences by vector bin packing.
 
-A sequence has three limits: tokens, segments and loss-bearing tokens. Documents longer than a sequence are cut into
-full pieces and a rest; rests are placed by the dot-product heuristic: an open sequence takes the piece that fits and
+A sequence has three limits: tokens, segments and loss-bearing tokens; where documents say how many of their tokens are
+a prompt, these bear no loss. Documents longer than a sequence are cut into full pieces and a rest; rests are placed by the dot-product heuristic: an open sequence takes the piece that fits and
 whose demand, as a vector of shares of the limits, has the largest dot product with what the sequence has left.
 Pieces are dealt at random over groups of bounded size, each packed by one task.
 """
@@ -61,31 +61,44 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pieces(docs: DataFrame, files: tuple[str, str] | None = None, max_tokens: int = 1024, separator: int = 0, with_ids: bool = False) -> DataFrame:
-    """Cut each document's ids, with the separator behind them, into pieces of ``max_tokens`` and a rest.
+def ends_of(n: int, prompt: int, max_tokens: int, max_loss: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, loss tokens) of the pieces of n ids: none over either limit. The first ``prompt`` ids and the last one bear no loss."""
+    start = 0
+    while start < n:
+        free = max(prompt - start, 0)  # ids of the prompt that are left
+        end = min(n, start + max_tokens, start + free + max_loss)
+        if end == n - 1 and end - start < max_tokens:
+            end = n  # the separator bears none
+        yield start, end, max(end - max(start, prompt), 0) - (end == n and n > prompt)
+        start = end
 
-    ``docs`` has doc_id (long) and text. A null text is empty and gives the separator alone. The separator bears no
-    loss. Repeated rows give repeated pieces; empty input gives none. ``with_ids`` adds the ids of each piece.
+
+def pieces(docs: DataFrame, files: tuple[str, str] | None = None, max_tokens: int = 1024, separator: int = 0, with_ids: bool = False, max_loss: int = 1024) -> DataFrame:
+    """Cut each document's ids, with the separator behind them, into pieces of ``max_tokens`` or ``max_loss`` loss tokens and a rest.
+
+    ``docs`` has doc_id (long) and text, and may have prompt_tokens (long): so many ids at the beginning, as an
+    instruction's, bear no loss (null: none). A null text is empty and gives the separator alone. The separator bears
+    no loss. Repeated rows give repeated pieces; empty input gives none. ``with_ids`` adds the ids of each piece.
     """
+    prompt = F.coalesce(F.col("prompt_tokens").cast("long"), F.lit(0)) if "prompt_tokens" in docs.columns else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(*(files or tokenizer_files()))
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = array.array("I", encode(text.as_py() or "") if text.is_valid else [])
                 ids.append(separator)
                 raw = memoryview(ids).cast("B")
-                for start in range(0, len(ids), max_tokens):
-                    end = min(start + max_tokens, len(ids))
-                    row = (doc_id, start, end - start, zlib.crc32(raw[4 * start : 4 * end]), len(ids), end - start - (end == len(ids)), ids[start:end].tolist() if with_ids else None)
+                for start, end, loss in ends_of(len(ids), asked, max_tokens, max_loss):
+                    row = (doc_id, start, end - start, zlib.crc32(raw[4 * start : 4 * end]), len(ids), loss, ids[start:end].tolist() if with_ids else None)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
             names = [*(c.split()[0] for c in PIECES.split(", ")), "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in list(zip(out, kinds, strict=True))[: 6 + with_ids]], names[: 6 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), prompt.alias("prompt")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
