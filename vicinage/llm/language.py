@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import cut, documents
+from vicinage.llm.common import cut, documents, few
 from vicinage.llm.kernel import blocks
 
 SLOTS = 1 << 15
 #: Languages whose counts a task holds before it hands them on.
 HELD = 64
+#: Hosts or suffixes, at most, whose counts are broadcast.
+HELD_ROWS = 100_000
 #: Smoothing counts of a host towards its suffix and of a suffix towards the corpus.
 HOST, SUFFIX = 4.0, 20.0
 #: Trigrams of a text aren't independent: their log likelihood counts as that of so many.
@@ -128,7 +130,12 @@ def identified(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFra
     corpus = F.array(*[F.lit(t / sum(total)) for t in total])
     rest = lambda counts: F.zip_with(counts, F.col("soft"), lambda a, own: F.greatest(a - own, F.lit(0.0)))
     smoothed = lambda counts, towards, weight: F.zip_with(counts, towards, lambda a, p: (a + weight * p))
-    found = scored.join(by_suffix, "suffix").join(by_host, "host").join(F.broadcast(known), "declared", "left")
+    # Pages without a host are one host of any size: its one row goes to them, not they to it.
+    by_host = cut(by_host)
+    found = scored.join(few(cut(by_suffix), HELD_ROWS), "suffix")
+    named = found.filter(F.col("host") != "").join(few(by_host, HELD_ROWS), "host")
+    nameless = found.filter(F.col("host") == "").crossJoin(F.broadcast(by_host.filter(F.col("host") == "").select("host_n")))  # one row
+    found = named.unionByName(nameless).join(F.broadcast(known), "declared", "left")
     found = found.withColumn("suffix_p", _share(smoothed(rest(F.col("suffix_n")), corpus, SUFFIX)))
     found = found.withColumn("host_p", _share(smoothed(rest(F.col("host_n")), F.col("suffix_p"), HOST)))
     evidence = F.zip_with(F.zip_with("logs", F.coalesce("told", nothing), lambda a, b: a + b), "host_p", lambda a, p: a + F.log(p))
