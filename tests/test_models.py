@@ -41,8 +41,8 @@ def test_validation(spark, small):
     folds = run(spark, small, "cross_val_auc").collect()
     assert sorted(r["fold"] for r in folds) == [0, 1, 2]
     assert all(0.5 < r["auc"] <= 1 and 0 < r["average_precision"] <= 1 for r in folds)
-    curve = sorted((r["fraction"], r["auc"]) for r in run(spark, small, "learning_curve").collect())
-    assert len(curve) == 3 and curve[-1][0] == 1 and all(0 <= auc <= 1 for _, auc in curve)
+    curve = sorted((r["fraction"], r["fold"], r["train_auc"], r["test_auc"]) for r in run(spark, small, "learning_curve").collect())
+    assert len(curve) == 9 and {r[0] for r in curve[-3:]} == {1} and all(0 <= r[3] <= 1 and r[2] > 0.9 for r in curve)
 
 
 def test_labels_are_nearest_centres(spark, small):

@@ -35,17 +35,35 @@ class Linear:
         return F.when(margin >= 0 if self.regression else margin > 0, 1).otherwise(-1)
 
 
-def multiclass(features: DataFrame, models: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, class, importance: the class of the largest score, its intercept counted as 1 / n of the graph's size.
+@dataclass(frozen=True)
+class Multiclass:
+    """Linear scores of several classes: an array of weights, one a class, as an expression of ``feature`` or a DataFrame (feature, weights)."""
 
-    models: class, intercept, weights MAP<feature, weight>; sizes: graph_id, n. Models are few and are broadcast.
-    """
-    rows = features.crossJoin(F.broadcast(models)).groupBy(*keys, "class", "intercept").agg(F.sum(F.col("value") * F.coalesce(F.col("weights")[F.col("feature")], F.lit(0.0))).alias("dot"))
-    best = rows.groupBy(*keys).agg(F.max(F.struct((F.col("dot") + F.col("intercept")).alias("score"), (-F.col("class")).alias("c"), "intercept")).alias("b"))
-    return best.join(sizes, "graph_id").select(*keys, (-F.col("b.c")).alias("class"), (F.col("b.score") - F.col("b.intercept") + F.col("b.intercept") / F.col("n")).alias("importance"))
+    weights: Column | DataFrame
+    intercepts: tuple[float, ...]
+
+    def best(self, features: DataFrame, *keys: str) -> DataFrame:
+        """keys, scores: the score of each class, to nine places."""
+        if isinstance(self.weights, DataFrame):
+            rows = features.join(self.weights.select("feature", F.col("weights").alias("_w")), "feature", "left")
+        else:
+            rows = features.withColumn("_w", self.weights)
+        dot = lambda k: F.sum(F.col("value") * F.coalesce(F.col("_w")[k], F.lit(0.0)))
+        return rows.groupBy(*keys).agg(F.array(*[F.round(dot(k) + b, 9) for k, b in enumerate(self.intercepts)]).alias("scores"))
 
+    def decided(self, scored: DataFrame) -> DataFrame:
+        """``scored`` (scores, n) with class, that of the largest score (the first of equal ones), and margin.
 
-def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model: Linear | None = None, reweight: float = 1.0, threshold: float | None = None, scale: float = 1.0, vertex_features: bool = False) -> DataFrame:
+        The margin is the score in which the intercept counts one n-th, n being the size of the graph.
+        """
+        intercepts = F.array(*map(F.lit, self.intercepts))
+        scored = scored.withColumn("scores", F.coalesce("scores", intercepts))
+        scored = scored.withColumn("class", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
+        own = F.get(intercepts, F.col("class"))
+        return scored.withColumn("margin", F.array_max("scores") - own + own / F.col("n"))
+
+
+def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model: Linear | Multiclass | None = None, reweight: float = 1.0, threshold: float | None = None, scale: float = 1.0, vertex_features: bool = False) -> DataFrame:
     """graph_id, vid, label, class, importance, weight [, vector] of every vertex.
 
     Without a model, importance is one over the number of vertices and edges. weight mixes |importance| with the old
@@ -57,6 +75,9 @@ def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model
         n = vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
         m = simple_edges(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
         scored = vertices.join(n, "graph_id").join(m, "graph_id", "left").withColumn("margin", 1.0 / (F.col("n") + F.coalesce("m", F.lit(0)))).withColumn("class", F.lit(1))
+    elif isinstance(model, Multiclass):
+        n = vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+        scored = model.decided(vertices.join(n, "graph_id").join(model.best(features, *keys), keys, "left"))
     else:
         scored = vertices.join(model.margins(features, *keys), keys, "left").withColumn("margin", F.coalesce("margin", F.lit(float(model.intercept))))
         scored = scored.withColumn("class", model.sign(F.col("margin")))
@@ -72,10 +93,12 @@ def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model
     return out
 
 
-def annotate_sequences(sequences: DataFrame, options: SequenceOptions, model: Linear | None = None) -> DataFrame:
-    """id, pos, token, importance: 1 without a model, else the margin of the position's features."""
+def annotate_sequences(sequences: DataFrame, options: SequenceOptions, model: Linear | None = None, probability: bool = False) -> DataFrame:
+    """id, pos, token, importance: 1 without a model, else the margin of the position's features or its logistic probability."""
     tokens = sequences.select("id", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     if model is None:
         return tokens.withColumn("importance", F.lit(1.0))
     margins = model.margins(position_vectorize(sequences, options), "id", "pos")
-    return tokens.join(margins, ["id", "pos"], "left").select("id", "pos", "token", F.coalesce("margin", F.lit(float(model.intercept))).alias("importance"))
+    margin = F.coalesce("margin", F.lit(float(model.intercept)))
+    importance = 1 / (1 + F.exp(-margin)) if probability else margin
+    return tokens.join(margins, ["id", "pos"], "left").select("id", "pos", "token", importance.alias("importance"))

@@ -113,3 +113,10 @@ def vectorize(vertices: DataFrame, edges: DataFrame, options: GraphOptions = Gra
 def vertex_vectorize(vertices: DataFrame, edges: DataFrame, options: GraphOptions = GraphOptions()) -> DataFrame:
     """graph_id, vid, feature, value: one sparse vector a vertex, normalised by itself."""
     return normalized(rooted_features(vertices, edges, options), ["graph_id", "vid"], options)
+
+
+def without_empty(graphs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``graphs`` (graph_id, ...); the job fails where one of them has no vertex."""
+    full = vertices.select("graph_id").distinct().withColumn("_full", F.lit(True))
+    wrong = F.raise_error(F.concat(F.lit("graph without vertices: "), F.col("graph_id").cast("string")))
+    return graphs.join(full, "graph_id", "left").filter(F.when(F.col("_full"), True).otherwise(wrong.cast("boolean"))).drop("_full")

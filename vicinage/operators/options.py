@@ -24,6 +24,12 @@ class GraphOptions:
     discrete: bool = True
     use_only_context: bool = False
 
+    def __post_init__(self):
+        if not 1 <= self.nbits <= 31:
+            raise ValueError(f"nbits is {self.nbits}, not in 1 to 31")
+        if min(self.radius, self.distance, self.min_r, self.min_d) < 0:
+            raise ValueError("radius and distance are 0 or more")
+
     @property
     def radius(self) -> int:
         return self.complexity if self.r is None else self.r
@@ -64,6 +70,7 @@ class SequenceOptions(GraphOptions):
     d: int | None = 3
 
     def __post_init__(self):
+        super().__post_init__()
         object.__setattr__(self, "min_r", min(self.min_r, self.radius))
         object.__setattr__(self, "min_d", min(self.min_d, self.distance))
 
@@ -72,3 +79,15 @@ class SequenceOptions(GraphOptions):
         if self.auto_weights:
             return {(i, i): 1.0 for i in range(max(self.radius, self.distance) + 1)}
         return None if self.weights_dict is None else {(r, d): w for r, d, w in self.weights_dict}
+
+
+#: Places of a key by the name of the offset.
+OFFSETS = {"small": 10, "large": 25, "very_large": 50}
+
+
+def described(values: dict, full: bool = True, offset: str = "small") -> str:
+    """``key: value`` lines in order of the keys, aligned at the colon; unless ``full``, the middle of long lines is left out."""
+    if offset not in OFFSETS:
+        raise ValueError(f"unknown offset: {offset}")
+    lines = [f"{key!s:>{OFFSETS[offset]}}: {values[key]}".replace("\n", " ") for key in sorted(values)]
+    return "\n".join(x if full or len(x) <= 100 else f"{x[:100]}  ...  {x[-20:]}" for x in lines)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +79,14 @@ def selected(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_semi")
 
 
+def pre_processed(df: DataFrame, processes: list[Callable[[DataFrame], DataFrame]], weights: list[float]) -> DataFrame:
+    """The rows of all processes of ``df``, with the number of the process and its weight."""
+    if len(processes) != len(weights):
+        raise ValueError(f"{len(processes)} processes and {len(weights)} weights")
+    parts = [p(df).withColumns({"process": F.lit(k), "process_weight": F.lit(float(w))}) for k, (p, w) in enumerate(zip(processes, weights, strict=True))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def data_matrix(positive: DataFrame, negative: DataFrame | None = None, key: str = "graph_id") -> DataFrame:
     """key, y, feature, value: positives over negatives; without negatives, the positives mirrored through the origin."""
     first = positive.select(key, F.lit(1).alias("y"), "feature", "value")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinage.functions.lineage import shared_folder
 from vicinage.operators import align, annotate, graph_vectorizer, links, metrics, motifs, sampling, statistics
 from vicinage.operators.options import GraphOptions, SequenceOptions
 from vicinage.plans.reference_sql import H, graph_ctes, sequence_ctes
@@ -213,3 +216,49 @@ query(
     lambda s, sf: rounded(annotate.annotate_sequences(C.names(s, sf), SequenceOptions(r=1, d=1, nbits=20), annotate.Linear(((F.col("feature") % 7) - 3) / F.lit(10.0))), "importance"),
     sequence_ctes(C.PART_SQL, SequenceOptions(r=1, d=1, nbits=20), by_position=True) + " SELECT s.id, s.pos, token, round(coalesce(m, 0), 6) + 0.0 AS importance FROM (SELECT id, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS token FROM s) s LEFT JOIN (SELECT id, pos, sum(value * (feature % 7 - 3) / 10.0::DOUBLE) AS m FROM result GROUP BY ALL) USING (id, pos)",
 )
+query(
+    "annotate_sequences_probability",
+    lambda s, sf: rounded(annotate.annotate_sequences(C.names(s, sf), SequenceOptions(r=1, d=1, nbits=20), annotate.Linear(((F.col("feature") % 7) - 3) / F.lit(10.0), 0.1), probability=True), "importance"),
+    sequence_ctes(C.PART_SQL, SequenceOptions(r=1, d=1, nbits=20), by_position=True) + " SELECT s.id, s.pos, token, round(1 / (1 + exp(-coalesce(m, 0.1::DOUBLE))), 6) + 0.0 AS importance FROM (SELECT id, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS token FROM s) s LEFT JOIN (SELECT id, pos, sum(value * (feature % 7 - 3) / 10.0::DOUBLE) + 0.1::DOUBLE AS m FROM result GROUP BY ALL) USING (id, pos)",
+)
+
+
+def _written(s: SparkSession, values: DataFrame) -> DataFrame:
+    """Lines that were written to files of the shared folder and read again."""
+    path = f"{shared_folder(s)}/lines-{uuid.uuid4().hex}"
+    values.write.text(path)
+    return formats.read_lines(s, path)
+
+
+def _read_characters(s: SparkSession, sf: str) -> DataFrame:
+    vertices, _ = formats.read_sequences(_written(s, C.table(s, sf, "part").select("p_name")))
+    return vertices.groupBy("vid", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _read_words(s: SparkSession, sf: str) -> DataFrame:
+    lines = C.table(s, sf, "documents").filter("text is not null").select(F.regexp_replace("text", r"[\x09-\x0D]", " "))
+    vertices, edges = formats.read_word_sequences(_written(s, lines))
+    return vertices.groupBy("label").agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _read_targets(s: SparkSession, sf: str) -> DataFrame:
+    lines = C.table(s, sf, "part").select(F.explode(F.array(F.col("p_size").cast("string"), F.lit(" "))))
+    return formats.read_targets(_written(s, lines)).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _node_link_files(s: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(s)}/graphs-{uuid.uuid4().hex}"
+    formats.write_node_link(*C.role_graphs(s, sf), path)
+    _, edges = formats.read_node_link(formats.read_lines(s, path))
+    return edges.groupBy("src", "dst", "label", "weight", "nesting").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("read_characters", _read_characters, f"SELECT vid, label, count(*) AS n FROM (SELECT unnest(range(0, len(tokens))) AS vid, unnest(tokens) AS label FROM ({C.PART_SQL})) GROUP BY ALL")
+query("read_words", _read_words, f"WITH v AS ({C.WORDS_SQL[0]}) SELECT label, count(*) AS n FROM v GROUP BY label UNION ALL SELECT '-', count(*) FROM v WHERE vid > 0 HAVING count(*) > 0")
+query("read_targets", _read_targets, "SELECT CAST(p_size AS INTEGER) AS target, count(*) AS n FROM part GROUP BY ALL")
+query("node_link_files", _node_link_files, f"WITH v AS ({C.ROLES_SQL[0]}), e AS ({C.ROLES_SQL[1]}) SELECT src, dst, label, weight, nesting, count(*) AS n FROM e GROUP BY ALL")
+query(
+    "join_pre_processes",
+    lambda s, sf: sampling.pre_processed(C.names(s, sf), [lambda d: d.select("id", F.array_join("tokens", "").alias("text")), lambda d: d.select("id", F.array_join(F.reverse("tokens"), "").alias("text"))], [1.0, 0.5]),
+    "SELECT p_partkey AS id, p_name AS text, 0 AS process, 1.0::DOUBLE AS process_weight FROM part UNION ALL SELECT p_partkey, reverse(p_name), 1, 0.5 FROM part",
+)

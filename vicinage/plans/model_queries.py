@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinage.functions.lineage import cut
 from vicinage.operators import graph_vectorizer, learning, sequence_vectorizer
 from vicinage.operators.options import GraphOptions, SequenceOptions
 from vicinage.plans.registry import query
@@ -15,7 +16,7 @@ NAMES = GraphOptions(r=1, d=1, nbits=BITS)
 
 
 def _vectors(s: SparkSession, sf: str) -> DataFrame:
-    """Vectors of the part names; label 1 for the sizes above 25."""
+    """Vectors of the part names; label 1 for names before m."""
     features = graph_vectorizer.vectorize(*C.name_graphs(s, sf), NAMES)
     labels = C.table(s, sf, "part").select(F.col("p_partkey").alias("graph_id"), (F.col("p_name") < "m").cast("int").alias("label"), F.length("p_name").cast("double").alias("length"))
     return learning.as_vectors(features, ["graph_id"], BITS).join(labels, "graph_id")
@@ -34,7 +35,9 @@ def _regressed(s: SparkSession, sf: str) -> DataFrame:
 query("fit_predict", _predicted)
 query("regress", _regressed)
 query("cross_val_auc", lambda s, sf: learning.cross_validated_auc(_vectors(s, sf), "graph_id", count=3))
-query("learning_curve", lambda s, sf: learning.learning_curve(_vectors(s, sf), "graph_id", steps=3))
+query("learning_curve", lambda s, sf: learning.learning_curve(_vectors(s, sf), "graph_id", steps=3, count=3))
+query("bias_variance", lambda s, sf: learning.bias_variance(_vectors(s, sf), "graph_id", count=2, n_bootstraps=2))
+query("predictive_performance", lambda s, sf: learning.predictive_performance(_vectors(s, sf), "graph_id", n_splits=2))
 query("cluster", lambda s, sf: learning.cluster(_vectors(s, sf), 8).select("graph_id", "cluster"))
 
 
@@ -54,3 +57,19 @@ def _sequence_predictions(s: SparkSession, sf: str) -> DataFrame:
 
 
 query("sequence_predict", _sequence_predictions)
+
+
+def _reports(s: SparkSession, sf: str) -> DataFrame:
+    """A model of the even ids on the odd ones."""
+    vectors = cut(_vectors(s, sf))
+    return learning.estimate_model(learning.fit(vectors.filter("graph_id % 2 = 0")), vectors.filter("graph_id % 2 = 1"))[1]
+
+
+def _selection(s: SparkSession, sf: str) -> DataFrame:
+    labels = C.table(s, sf, "part").select(F.col("p_partkey").alias("graph_id"), (F.col("p_name") < "m").cast("int").alias("label"))
+    return learning.model_selection(*C.name_graphs(s, sf), labels, NAMES, n_iter=3, radii=(1,), distances=(0, 1), count=2)[1]
+
+
+query("estimate_model", _reports)
+query("model_selection", _selection)
+query("auto_relabel", lambda s, sf: learning.auto_relabel(*C.name_graphs(s, sf), NAMES, 4))

@@ -78,3 +78,23 @@ query(
     lambda spark, sf: rounded(annotate.annotate(*C.name_graphs(spark, sf), BASE, annotate.Linear(((F.col("feature") % 7) - 3) / F.lit(10.0), 0.05), threshold=0.0, scale=2.0), "importance", "weight"),
     _LINEAR + "SELECT v.graph_id, v.vid, v.label, CASE WHEN round(m, 9) > 0 THEN 1 ELSE -1 END AS class, round(greatest(m, 0), 6) + 0.0 AS importance, round(2 * abs(greatest(m, 0)), 6) + 0.0 AS weight FROM v JOIN margins USING (graph_id, vid)",
 )
+query(
+    "annotate_regression",
+    lambda spark, sf: rounded(annotate.annotate(*C.name_graphs(spark, sf), BASE, annotate.Linear(((F.col("feature") % 7) - 3) / F.lit(10.0), -0.05, regression=True)), "importance", "weight"),
+    _LINEAR.replace("+ 0.05", "- 0.05") + "SELECT v.graph_id, v.vid, v.label, CASE WHEN round(m, 9) >= 0 THEN 1 ELSE -1 END AS class, round(m, 6) + 0.0 AS importance, round(abs(m), 6) + 0.0 AS weight FROM v JOIN margins USING (graph_id, vid)",
+)
+_INTERCEPTS = (0.05, -0.1, 0.2)
+_SCORES = ", ".join(f"round(sum(value * ((feature * {k + 1}) % 7 - 3) / 10.0::DOUBLE) + {b}, 9) AS s{k}" for k, b in enumerate(_INTERCEPTS))
+
+
+def _multiclass(spark, sf):
+    weights = F.array(*[((F.col("feature") * (k + 1)) % 7 - 3) / F.lit(10.0) for k in range(len(_INTERCEPTS))])
+    return rounded(annotate.annotate(*C.name_graphs(spark, sf), BASE, annotate.Multiclass(weights, _INTERCEPTS)), "importance", "weight")
+
+
+query(
+    "annotate_multiclass", _multiclass,
+    graph_ctes(C.NAMES_SQL, BASE, by_vertex=True) + f", scores AS (SELECT graph_id, vid, {_SCORES} FROM result GROUP BY ALL), decided AS (SELECT *, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS class FROM scores), "
+    "sized AS (SELECT *, list_value(0.05::DOUBLE, -0.1::DOUBLE, 0.2::DOUBLE)[class + 1] AS b, count(*) OVER (PARTITION BY graph_id) AS n FROM decided) "
+    "SELECT v.graph_id, v.vid, v.label, CAST(class AS INTEGER) AS class, round(greatest(s0, s1, s2) - b + b / n, 6) + 0.0 AS importance, round(abs(greatest(s0, s1, s2) - b + b / n), 6) + 0.0 AS weight FROM v JOIN sized USING (graph_id, vid)",
+)

@@ -72,7 +72,7 @@ def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same corpora in SQL, as the bodies of the views v (graph_id, vid, label, weight) and e (graph_id, src, dst, label, weight, nesting).
 NAMES_SQL = (
-    "SELECT p_partkey AS graph_id, i AS vid, substring(p_name, i + 1, 1) AS label, CAST(NULL AS DOUBLE) AS weight FROM part, range(0, 100) t(i) WHERE i < length(p_name)",
+    "SELECT graph_id, vid, substring(p_name, vid + 1, 1) AS label, CAST(NULL AS DOUBLE) AS weight FROM (SELECT p_partkey AS graph_id, p_name, unnest(range(0, length(p_name))) AS vid FROM part)",
     "SELECT graph_id, vid - 1 AS src, vid AS dst, '-' AS label, CAST(NULL AS DOUBLE) AS weight, false AS nesting FROM v WHERE vid > 0",
 )
 WORDS_SQL = (

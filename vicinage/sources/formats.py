@@ -11,7 +11,8 @@ ATTRIBUTES = "map<string,string>"
 
 
 def read_lines(spark: SparkSession, source: str | list[str]) -> DataFrame:
-    """line_no, value. A list of lines is taken as it is; files are read in the order of their names."""
+    """line_no, value. A list of lines is taken as it is. Numbers of files are unique and rise within a file;
+    which file comes first is Spark's choice."""
     if isinstance(source, list):
         return spark.createDataFrame(list(enumerate(source)), "line_no long, value string")
     return spark.read.text(source).select(F.monotonically_increasing_id().alias("line_no"), "value")
@@ -65,13 +66,23 @@ def read_node_link(lines: DataFrame, key: str = "line_no") -> tuple[DataFrame, D
 
 
 def node_link_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, value: a JSON graph a row, nodes and links in order of their ids."""
-    nodes = vertices.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.col("vid").alias("id"), "label"))).alias("nodes"))
-    links = edges.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "label"))).alias("links"))
-    whole = F.struct(F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), "nodes", F.coalesce("links", F.array().cast("array<struct<source:bigint,target:bigint,label:string>>")).alias("links"))
+    """graph_id, value: a JSON graph a row, nodes and links in order of their ids.
+
+    Weights of vertices and edges and the nesting of edges are written where there are such columns; nulls are left out.
+    """
+    own = [F.col("vid").alias("id"), "label", *[c for c in ("weight",) if c in vertices.columns]]
+    ends = [F.col("src").alias("source"), F.col("dst").alias("target"), "label", *[c for c in ("weight", "nesting") if c in edges.columns]]
+    nodes = vertices.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("nodes"))
+    links = edges.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*ends))).alias("links"))
+    whole = F.struct(F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), "nodes", F.coalesce("links", F.array().cast(links.schema["links"].dataType)).alias("links"))
     return nodes.join(links, "graph_id", "left").select("graph_id", F.to_json(whole).alias("value"))
 
 
+def write_node_link(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """A JSON graph a line, in order of graph_id."""
+    node_link_lines(vertices, edges).orderBy("graph_id").select("value").write.text(path)
+
+
 def adjacency_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, value: ``id:label [neighbours]`` of each vertex, joined by ``--``."""
     from vicinage.operators.neighborhoods import both_ways, simple_edges
