@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinage.llm import chat, cotraining, language, media, mixing, near_dup, packing, quality_rules, repeats, toxicity
+from vicinage.llm import chat, cotraining, language, media, mixing, near_dup, packing, quality_rules, repeats, toxicity, trie
 
 
 def queries() -> dict:
@@ -20,8 +20,9 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality_classifier": cotraining.op10_quality_classifier,
+        "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op8_chat": chat.OP8_SQL, "op9_mixing": mixing.OP9_SQL, "op13_prefix_trie": trie.OP13_SQL}
