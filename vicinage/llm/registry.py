@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinage.llm import chat, cotraining, language, media, mixing, near_dup, packing, quality_rules, repeats, toxicity, trie
+from vicinage.llm import chat, cotraining, elkan, language, media, mixing, near_dup, packing, parity, quality_rules, repeats, toxicity, trie
 
 
 def queries() -> dict:
@@ -20,9 +20,18 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality_classifier": cotraining.op10_quality_classifier,
+        "op11_jaccard_join": parity.op11_jaccard_join,
+        "op12_vector_codes": elkan.op12_vector_codes,
         "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.OP8_SQL, "op9_mixing": mixing.OP9_SQL, "op13_prefix_trie": trie.OP13_SQL}
+    return {
+        "op5_near_dup": parity.OP5_SQL,
+        "op8_chat": chat.OP8_SQL,
+        "op9_mixing": mixing.OP9_SQL,
+        "op11_jaccard_join": parity.OP11_SQL,
+        "op12_vector_codes": elkan.OP12_SQL,
+        "op13_prefix_trie": trie.OP13_SQL,
+    }
