@@ -14,7 +14,9 @@ symmetric difference. Sets of similarity s and sizes a <= b differ in no more th
   the symmetric difference either, and then on their full sets.
 
 Equal sets are one class with one representative. Each list has a hub, its member with the most company, and a set is
-first compared with the hub that it meets most often; only pairs of different components follow.
+first compared with the hub that it meets most often; only pairs of different components follow. In lists of more than
+SHORT members these are joined on what they have otherwise than the hub (see :mod:`residual`): parities are linear, so
+the sketch of two sets' difference is the difference of their sketches, and that of their differences from a hub.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import cut, documents, few
 from vicinage.llm.components import connected, merged
 from vicinage.llm.kernel import U, Words, blocks, distinct, mixed, shingles
-from vicinage.llm.near_dup import confirmed
+from vicinage.llm.near_dup import SHORT, confirmed
+from vicinage.llm.residual import around_hubs
 
 BITS = 2048
 #: Largest size of a band over its smallest. Low bits of a list's name hold its band, those of a class how many lists it needs.
@@ -212,7 +215,7 @@ def _components(lists: DataFrame, classes: DataFrame, plain: DataFrame, width: i
     posted = cut(_posted(lists, classes))
     central = F.struct("company", "copies", (-F.col("rep")).alias("back"))
     hubs = posted.groupBy("list").agg(F.max(central).alias("first"), F.count(F.lit(1)).alias("length")).filter(F.col("length") > 1)
-    posted = cut(posted.join(hubs.select("list", (-F.col("first.back")).alias("hub")), "list").select("list", "rep", "hub"))
+    posted = cut(posted.join(hubs.select("list", "length", (-F.col("first.back")).alias("hub")), "list").select("list", "length", "rep", "hub"))
     ids = cut(posted.select(F.col("rep").alias("id")).distinct())
     of_class = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "set_low", "set_high")
     sets = sketched_sets(plain.join(few(ids), "id", "left_semi"), width).dropDuplicates(["id", "set_low", "set_high"])
@@ -222,11 +225,13 @@ def _components(lists: DataFrame, classes: DataFrame, plain: DataFrame, width: i
     best = cut(met.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("collisions", -F.col("hub"))).alias("b")))
     component = connected(cut(confirmed(_in_reach(best, sets, percent), sets, percent)))
     # Sets of different components that still share lists.
-    rooted = posted.join(component, F.col("rep") == F.col("node"), "left").select("list", "rep", F.coalesce("root", "rep").alias("root"))
+    rooted = posted.join(component, F.col("rep") == F.col("node"), "left").select("list", "length", "rep", "hub", F.coalesce("root", "rep").alias("root"))
     apart = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("list")
     rooted = cut(rooted.join(apart, "list"))
-    p, q = (rooted.select("list", F.col("rep").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = p.join(q, "list").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct()
+    p, q = (rooted.filter(F.col("length") <= SHORT).select("list", F.col("rep").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    pairs = p.join(q, "list").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+    crowded = cut(rooted.filter(F.col("length") > SHORT).select("hub", "rep", "root").distinct())
+    pairs = pairs.union(around_hubs(crowded, sets, percent)).distinct()
     return merged(component, cut(confirmed(_in_reach(pairs, sets, percent), sets, percent)))
 
 
