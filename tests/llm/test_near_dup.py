@@ -63,3 +63,9 @@ def test_components(spark):
 def test_copies_are_not_paired(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two three four five six").alias("text"))
     assert N.near_duplicates(docs).filter("component_id <> 0").count() == 0
+
+
+def test_crowded_lists(spark, monkeypatch):
+    """With all lists taken for crowded ones, pairs across components come from the residual join alone."""
+    monkeypatch.setattr(N, "SHORT", 1)
+    test_families_of_edited_copies(spark)

@@ -12,8 +12,8 @@ Copies and families of near copies would make a list's pairs quadratic. Document
 only the representative is posted. Each list has a hub, its member with the most company over all its lists (of equal
 ones that of most copies, as an original is): collisions are counted with hubs first, and each document is confirmed
 with the hub that it meets most often. Only lists that then hold several components are merged further, and only pairs
-across components. In lists of more than SHORT members these would still be too many: there an exact join over the
-members' rarest shingles finds them (see :func:`_in_reach`), so no list has a bound beyond which links are lost.
+across components. In lists of more than SHORT members these would still be too many: there the members of one hub are
+joined on what they have otherwise than the hub (see :mod:`residual`), so no list has a bound beyond which links are lost.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import cut, documents, few
 from vicinage.llm.components import connected, merged
 from vicinage.llm.kernel import U, Words, blocks, distinct, mixed, series, shingles
+from vicinage.llm.residual import around_hubs
 
 #: At similarity 0.8 a pair shares 16 of 32 coordinates on average, and fewer than 5 once in 100,000 pairs.
 COORDINATES, ROWS, MATCHES = 32, 3, 5
@@ -163,14 +164,13 @@ def _components(classes: DataFrame, plain: DataFrame, width: int, percent: int)
     best = cut(met.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("collisions", -F.col("hub"))).alias("b")))
     component = connected(cut(confirmed(best, sets, percent)))
     # Collisions across the components that still share lists.
-    rooted = posted.join(component, F.col("rep") == F.col("node"), "left").select(*LIST, "length", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    rooted = posted.join(component, F.col("rep") == F.col("node"), "left").select(*LIST, "length", "rep", "hub", "size", F.coalesce("root", "rep").alias("root"))
     apart = rooted.groupBy(*LIST).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select(*LIST)
     rooted = cut(rooted.join(apart, LIST))
     pairs = _alike(_across(rooted.filter(F.col("length") <= SHORT), percent), tokens)
-    crowded = rooted.filter(F.col("length") > SHORT).select("rep", "root").distinct()
-    reached = _in_reach(crowded.join(sets, F.col("rep") == F.col("id")).select("rep", "root", "shingles"), percent)
+    crowded = cut(rooted.filter(F.col("length") > SHORT).select("hub", "rep", "root").distinct())
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.unionByName(reached).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.unionByName(around_hubs(crowded, sets, percent)).distinct().join(tried, ["a", "b"], "left_anti")
     return merged(component, cut(confirmed(pairs, sets, percent)))
 
 
@@ -189,27 +189,6 @@ def _alike(met: DataFrame, tokens: DataFrame) -> DataFrame:
     return both.filter((F.col("collisions") >= MATCHES) | (F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES)).select("a", "b")
 
 
-def _in_reach(docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of docs (rep, root, shingles) of different roots that can have the similarity, found without loss.
-
-    Each set is put in order from the shingle that fewest of these documents have to the most frequent one. A link needs
-    a part of percent / (100 + percent) of both sizes in common; if the first common shingle is at places i and j of
-    sets of m and n, at most the m - i and n - j behind them can be. So only early, rare shingles are joined, and
-    documents of one family that were edited differently don't meet.
-    """
-    rows = docs.select("rep", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
-    order = Window.partitionBy("rep").orderBy("held", "shingle")
-    placed = rows.join(held, "shingle").withColumn("rest", F.col("size") - F.row_number().over(order) + 1)
-    # A partner has percent of the size at least, and a shingle that no other has joins nothing.
-    placed = cut(placed.filter((100 * F.col("rest") >= percent * F.col("size")) & (F.col("held") > 1)).select("shingle", "rep", "root", "size", "rest"))
-    p, q = placed.alias("p"), placed.alias("q")
-    need = percent * (F.col("p.size") + F.col("q.size"))
-    fits = [(100 + percent) * F.col(f"{x}.rest") >= need for x in "pq"]
-    met = p.join(q, [F.col("p.shingle") == F.col("q.shingle"), F.col("p.rep") < F.col("q.rep"), F.col("p.root") != F.col("q.root"), *fits])
-    return met.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
-
-
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4).withColumnRenamed("id", "doc_id")
 

@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import cut
+from vicinage.llm.common import cut, few
 
 #: Bands of distances, about, in a hub's size.
-BANDS = 16
+BANDS = 48
 
 
 def around_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -30,13 +30,15 @@ def around_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     items = F.concat(F.array_except("own", "base"), F.array_except("base", "own"))
     rows = both.select("hub", "rep", "root", F.xxhash64("own").alias("text"), F.size("own").alias("size"), F.greatest(F.lit(1), F.floor(F.size("base") / BANDS)).alias("width"), items.alias("items"))
     rows = cut(rows.withColumn("far", F.size("items")))
-    tokens = rows.select("hub", "rep", "text", "root", "size", "width", "far", F.explode("items").alias("item"))
+    largest = rows.groupBy("hub").agg(F.max("size").alias("largest"))
+    most = F.floor((F.col("size") + F.least("largest", F.floor(F.col("size") * 100 / percent))) * (100 - percent) / (100 + percent))
+    rows = rows.join(few(cut(largest)), "hub").withColumn("most", most)
+    tokens = rows.select("hub", "rep", "text", "root", "size", "width", "far", "most", F.explode("items").alias("item"))
     held = tokens.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("held"))
     order = Window.partitionBy("hub", "rep", "text").orderBy("held", "item")  # no more than two texts have shingles
     placed = tokens.join(held, ["hub", "item"]).withColumn("rest", F.col("far") - F.row_number().over(order) + 1).filter("held > 1")
-    most = F.floor(F.col("size") * (100 - percent) / percent)
-    first = F.greatest(F.lit(0), F.floor((F.col("far") - most) / F.col("width")))
-    last = F.least(F.floor((F.col("far") + most) / F.col("width")), F.floor((2 * F.col("rest") + most - F.col("far")) / F.col("width")))
+    first = F.greatest(F.lit(0), F.floor((F.col("far") - F.col("most")) / F.col("width")))
+    last = F.floor((F.least("far", 2 * F.col("rest") - F.col("far")) + F.col("most")) / F.col("width"))
     placed = placed.withColumns({"first": first, "last": last, "band": F.floor(F.col("far") / F.col("width"))}).filter("first <= last")
     placed = placed.withColumn("other", F.explode(F.sequence("first", "last")))
     placed = placed.withColumns({"low": F.least("band", "other"), "high": F.greatest("band", "other")})
