@@ -78,9 +78,3 @@ def test_lists_of_one_class_go(spark):
     rows = [(1, 5), (1, 5), (2, 5), (2, 6), (3, 7), (4, 1), (4, 2), (4, 2), (4, 3)]
     got = sorted(map(tuple, P.shared(spark.createDataFrame(rows, "list long, class long")).collect()))
     assert got == [(2, 5), (2, 6), (4, 1), (4, 2), (4, 3)]
-
-
-def test_crowded_lists_equal_brute_force(spark, monkeypatch):
-    """With all lists taken for crowded ones, pairs come from the residual join alone."""
-    monkeypatch.setattr(P, "SHORT", 1)
-    test_families_of_edited_copies(spark, 80)
