@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    For loops of joins: a checkpoint still knows the constraints of its plan, which such a loop doubles in every round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` (materialised, narrow) marked for broadcast if it has no more than ``rows`` rows; else it is joined by shuffles."""
     return F.broadcast(df) if df.count() <= rows else df
