@@ -32,8 +32,8 @@ from vicinage.llm.residual import around_hubs
 
 #: At similarity 0.8 a pair shares 16 of 32 coordinates on average, and fewer than 5 once in 100,000 pairs.
 COORDINATES, ROWS, MATCHES = 32, 3, 5
-#: Longest list of which all pairs across components are counted; a member has so many partners at most in it.
-SHORT = 32
+#: Longest list of which all pairs across components are counted; a member has fewer partners in it than a difference has items.
+SHORT = 8
 SIGNED = "id long, n_shingles long, set_low long, set_high long, signature array<long>"
 SETS = "id long, set_low long, set_high long, shingles array<long>"
 

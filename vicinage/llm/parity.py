@@ -14,9 +14,9 @@ symmetric difference. Sets of similarity s and sizes a <= b differ in no more th
   the symmetric difference either, and then on their full sets.
 
 Equal sets are one class with one representative. Each list has a hub, its member with the most company, and a set is
-first compared with the hub that it meets most often; only pairs of different components follow. These are joined on
-what they have otherwise than the hub (see :mod:`residual`): parities are linear, so the sketch of two sets' difference
-is the difference of their sketches, and that of their differences from a hub.
+first compared with the hub that it meets most often; only pairs of different components follow. In lists of more than
+SHORT members these are joined on what they have otherwise than the hub (see :mod:`residual`): parities are linear, so
+the sketch of two sets' difference is the difference of their sketches, and that of their differences from a hub.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import cut, documents, few
 from vicinage.llm.components import connected, merged
 from vicinage.llm.kernel import U, Words, blocks, distinct, mixed, shingles
-from vicinage.llm.near_dup import confirmed
+from vicinage.llm.near_dup import SHORT, confirmed
 from vicinage.llm.residual import around_hubs
 
 BITS = 2048
@@ -228,9 +228,10 @@ def _components(lists: DataFrame, classes: DataFrame, plain: DataFrame, width: i
     rooted = posted.join(component, F.col("rep") == F.col("node"), "left").select("list", "length", "rep", "hub", F.coalesce("root", "rep").alias("root"))
     apart = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("list")
     rooted = cut(rooted.join(apart, "list"))
-    of_two = rooted.filter((F.col("length") == 2) & (F.col("rep") != F.col("hub"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    members = cut(rooted.filter(F.col("length") > 2).select("hub", "rep", "root").distinct())
-    pairs = of_two.union(around_hubs(members, sets, percent)).distinct()
+    p, q = (rooted.filter(F.col("length") <= SHORT).select("list", F.col("rep").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    pairs = p.join(q, "list").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+    members = cut(rooted.filter(F.col("length") > SHORT).select("hub", "rep", "root").distinct())
+    pairs = pairs.union(around_hubs(members, sets, percent)).distinct()
     return merged(component, cut(confirmed(_in_reach(pairs, sets, percent), sets, percent)))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import cut, few
 
 #: Bands of distances, about, in a hub's size.
-BANDS = 48
+BANDS = 8
 
 
 def around_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -41,15 +41,15 @@ def around_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     last = F.floor((F.least("far", 2 * F.col("rest") - F.col("far")) + F.col("most")) / F.col("width"))
     placed = placed.withColumns({"first": first, "last": last, "band": F.floor(F.col("far") / F.col("width"))}).filter("first <= last")
     placed = placed.withColumn("other", F.explode(F.sequence("first", "last")))
-    placed = placed.withColumns({"low": F.least("band", "other"), "high": F.greatest("band", "other")})
-    key = ["hub", "item", "low", "high"]
-    met = placed.groupBy(*key).agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select(*key)
-    placed = cut(placed.join(met, key).select(*key, "rep", "root", "size", "far", "rest", "band"))
+    key = F.xxhash64("hub", "item", F.least("band", "other"), F.greatest("band", "other"))
+    placed = placed.select(key.alias("key"), "rep", "root", "size", "far", "rest", "band", (F.col("band") == F.col("other")).alias("alone"))
+    met = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+    placed = cut(placed.join(met, "key"))
     p, q = placed.alias("p"), placed.alias("q")
     fits = 100 * F.least("p.size", "q.size") >= percent * F.greatest("p.size", "q.size")
     needed = F.col("p.far") + F.col("q.far") - F.floor((F.col("p.size") + F.col("q.size")) * (100 - percent) / (100 + percent))
-    opposite = (F.col("p.low") == F.col("p.high")) | (F.col("p.band") != F.col("q.band"))
-    same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in key] + [F.col("p.rep") < F.col("q.rep"), F.col("p.root") != F.col("q.root")]
+    opposite = F.col("p.alone") | (F.col("p.band") != F.col("q.band"))
+    same = [F.col("p.key") == F.col("q.key"), F.col("p.rep") < F.col("q.rep"), F.col("p.root") != F.col("q.root")]
     pairs = p.join(q, [*same, opposite, fits, 2 * F.least("p.rest", "q.rest") >= needed]).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
     own_root = members.filter(F.col("rep") == F.col("hub")).select("hub", F.col("root").alias("own_root"))
     hubs = members.join(own_root, "hub").filter(F.col("root") != F.col("own_root")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
