@@ -3,6 +3,7 @@
 from compare import spark_rows, sql_rows
 
 import __spark_entry__ as entry_module
+from vicinage.operators import align
 
 
 def test_long_names_stay_whole(spark, tmp_path):
@@ -11,3 +12,24 @@ def test_long_names_stay_whole(spark, tmp_path):
     found = entry_module.queries()["max_common_subgraph"](spark, str(tmp_path))
     assert spark_rows(found) == sql_rows(entry_module.oracle_sql()["max_common_subgraph"], tmp_path)
     assert found.filter("pair_id = 2").first()["largest"] == 40
+
+
+def test_lone_vertices_are_no_common_parts(spark):
+    """Two equal graphs of one edge and a lone vertex: two of three vertices are in common, and have kept neighbours."""
+    vertices = spark.createDataFrame([(g, v, "c") for g in (1, 2) for v in range(3)], "graph_id long, vid long, label string")
+    edges = spark.createDataFrame([(g, 0, 1, "-") for g in (1, 2)], "graph_id long, src long, dst long, label string")
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id long, a_id long, b_id long")
+    matching = spark.createDataFrame([(7, v, v) for v in range(3)], "pair_id long, a_vid long, b_vid long")
+    assert [tuple(r) for r in align.common_subgraphs(vertices, edges, pairs, matching).collect()] == [(7, 0, 2)]
+    for found in (align.matching_neighborhoods_fraction, align.largest_common_fraction, align.matching_quality):
+        assert abs(found(vertices, edges, pairs, matching).first()[1] - 2 / 3) < 1e-12
+
+
+def test_parts_are_joined_by_edges_of_the_second_graph(spark):
+    """a has two edges apart; b has another one between them, which connects the common part."""
+    vertices = spark.createDataFrame([(g, v, "c") for g in (1, 2) for v in range(4)], "graph_id long, vid long, label string")
+    edges = spark.createDataFrame([(1, 0, 1, "-"), (1, 2, 3, "-"), (2, 0, 1, "-"), (2, 2, 3, "-"), (2, 1, 2, "-")], "graph_id long, src long, dst long, label string")
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id long, a_id long, b_id long")
+    matching = spark.createDataFrame([(7, v, v) for v in range(4)], "pair_id long, a_vid long, b_vid long")
+    assert [tuple(r) for r in align.common_subgraphs(vertices, edges, pairs, matching).collect()] == [(7, 0, 4)]
+    assert align.matching_neighborhoods_fraction(vertices, edges, pairs, matching).first()[1] == 1

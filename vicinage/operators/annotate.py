@@ -54,7 +54,7 @@ class Multiclass:
     def decided(self, scored: DataFrame) -> DataFrame:
         """``scored`` (scores, n) with class, that of the largest score (the first of equal ones), and margin.
 
-        The margin is the score in which the intercept counts one n-th, n being the size of the graph.
+        The margin is the score in which the intercept counts one n-th, n being the number of the graph's vertices and edges.
         """
         intercepts = F.array(*map(F.lit, self.intercepts))
         scored = scored.withColumn("scores", F.coalesce("scores", intercepts))
@@ -71,12 +71,10 @@ def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model
     """
     keys = ["graph_id", "vid"]
     features = vertex_vectorize(vertices, edges, options) if model or vertex_features else None
+    n = vertices.select("graph_id").unionByName(simple_edges(edges).select("graph_id")).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     if model is None:
-        n = vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-        m = simple_edges(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
-        scored = vertices.join(n, "graph_id").join(m, "graph_id", "left").withColumn("margin", 1.0 / (F.col("n") + F.coalesce("m", F.lit(0)))).withColumn("class", F.lit(1))
+        scored = vertices.join(n, "graph_id").withColumn("margin", 1.0 / F.col("n")).withColumn("class", F.lit(1))
     elif isinstance(model, Multiclass):
-        n = vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
         scored = model.decided(vertices.join(n, "graph_id").join(model.best(features, *keys), keys, "left"))
     else:
         scored = vertices.join(model.margins(features, *keys), keys, "left").withColumn("margin", F.coalesce("margin", F.lit(float(model.intercept))))

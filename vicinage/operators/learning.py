@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LinearSVC
@@ -14,9 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions.lineage import cut
-from vicinage.operators import graph_vectorizer, metrics
+from vicinage.operators import graph_vectorizer, metrics, training
 from vicinage.operators.options import GraphOptions
-from vicinage.operators.sampling import drawn, ranked
 
 
 def as_vectors(features: DataFrame, keys: list[str], nbits: int) -> DataFrame:
@@ -59,32 +57,17 @@ def cluster(vectors: DataFrame, n_clusters: int = 16, seed: int = 1, iterations:
 
 
 def auto_label(features: DataFrame, nbits: int, n_clusters: int = 16, seed: int = 1) -> DataFrame:
-    """graph_id, vid, label, vec: the cluster of each vertex's vector and 1 / (1 + distance) to each centre."""
+    """graph_id, vid, label, vec: the cluster of each vertex's vector and its distances to all centres."""
     found = cluster(as_vectors(features, ["graph_id", "vid"], nbits), n_clusters, seed)
-    return found.select("graph_id", "vid", F.col("cluster").cast("string").alias("label"), F.transform("distances", lambda d: 1 / (1 + d)).alias("vec"))
+    return found.select("graph_id", "vid", F.col("cluster").cast("string").alias("label"), F.col("distances").alias("vec"))
 
 
 def auto_relabel(vertices: DataFrame, edges: DataFrame, options: GraphOptions, n_clusters: int = 16, seed: int = 1) -> DataFrame:
-    """``vertices`` with the cluster of each one as its label and the nearness to all centres as vec; edges stay as they are."""
+    """``vertices`` with the cluster of each one as its label and the distances to all centres as vec; edges stay as they are."""
     found = auto_label(graph_vectorizer.vertex_vectorize(vertices, edges, options), options.nbits, n_clusters, seed)
     return vertices.drop("label", "vec").join(found, ["graph_id", "vid"], "left")
 
 
-def folds(df: DataFrame, key: str, label: str, count: int = 5, seed: int | str = 1) -> DataFrame:
-    """``df`` with fold 0 to count - 1, dealt in shuffled order within each class."""
-    return ranked(df, key, seed, label).withColumn("fold", (F.col("place") - 1) % count).drop("place", "total")
-
-
-def _each(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def cross_validated(vectors: DataFrame, key: str, label: str = "label", count: int = 5, seed: int | str = 1, **options) -> DataFrame:
-    """key, label, fold, margin: the margin of each row under the model of the other folds."""
-    dealt = cut(folds(vectors, key, label, count, seed))
-    return _each([decision(fit(dealt.filter(F.col("fold") != k), label, **options), dealt.filter(F.col("fold") == k)).select(key, label, "fold", "margin") for k in range(count)])
-
-
 def estimated(scored: DataFrame, label: str = "label") -> DataFrame:
     """One row for (label, margin) of any model: accuracy, auc, average_precision."""
     said = (F.col("margin") > 0).cast("int") == F.col(label)
@@ -98,45 +81,6 @@ def estimate_model(model, vectors: DataFrame, label: str = "label") -> tuple[Dat
     return estimated(scored, label), metrics.class_report(scored, label, "prediction")
 
 
-def cross_validated_auc(vectors: DataFrame, key: str, label: str = "label", count: int = 5, seed: int | str = 1, **options) -> DataFrame:
-    """fold, auc, average_precision."""
-    scored = cut(cross_validated(vectors, key, label, count, seed, **options))
-    return _each([estimated(scored.filter(F.col("fold") == k), label).select(F.lit(k).alias("fold"), "auc", "average_precision") for k in range(count)])
-
-
-def learning_curve(vectors: DataFrame, key: str, label: str = "label", steps: int = 10, start: float = 0.1, count: int = 5, seed: int = 1, **options) -> DataFrame:
-    """fold, fraction, train_auc, test_auc: areas under the curve after training on growing parts of the other folds."""
-    dealt = cut(folds(vectors, key, label, count, seed).withColumn("_at", drawn(f"{seed}c", key) / F.lit(float(1 << 32))))
-    rows = []
-    for k in range(count):
-        for step in range(steps):
-            share = start + (1 - start) * step / max(1, steps - 1)
-            train = dealt.filter((F.col("fold") != k) & (F.col("_at") < share))
-            model = fit(train, label, **options)
-            areas = [estimated(decision(model, part), label).select(F.col("auc").alias(name)) for part, name in ((train, "train_auc"), (dealt.filter(F.col("fold") == k), "test_auc"))]
-            rows.append(areas[0].crossJoin(areas[1]).select(F.lit(k).alias("fold"), F.lit(share).alias("fraction"), "train_auc", "test_auc"))  # one row each
-    return _each(rows)
-
-
-def bias_variance(vectors: DataFrame, key: str, label: str = "label", count: int = 5, n_bootstraps: int = 10, seed: int = 1, **options) -> DataFrame:
-    """bootstrap, mean, std: the mean accuracy of cross-validation and its deviation over folds, each time dealt anew."""
-    vectors, right, rows = cut(vectors), ((F.col("margin") > 0).cast("int") == F.col(label)).cast("double"), []
-    for b in range(n_bootstraps):
-        by_fold = cross_validated(vectors, key, label, count, f"{seed}b{b}", **options).groupBy("fold").agg(F.avg(right).alias("accuracy"))
-        rows.append(by_fold.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std")).select(F.lit(b).alias("bootstrap"), "mean", "std"))
-    return _each(rows)
-
-
-def predictive_performance(vectors: DataFrame, key: str, label: str = "label", n_splits: int = 10, test_size: float = 0.3, seed: int = 1, **options) -> DataFrame:
-    """split, average_precision: that of the predicted classes on a drawn part, after training on the rest."""
-    vectors, rows = cut(vectors), []
-    for k in range(n_splits):
-        dealt = cut(ranked(vectors, key, f"{seed}p{k}").withColumn("_test", F.col("place") <= F.ceil(F.col("total") * test_size)))
-        scored = decision(fit(dealt.filter(~F.col("_test")), label, **options), dealt.filter("_test")).withColumn(label, F.col(label).cast("double"))
-        rows.append(metrics.ranking_summary(scored, label, "prediction").select(F.lit(k).alias("split"), "average_precision"))
-    return _each(rows)
-
-
 def model_selection(vertices: DataFrame, edges: DataFrame, targets: DataFrame, options: GraphOptions, label: str = "label", n_iter: int = 30, radii: tuple[int, ...] = tuple(range(1, 5)), distances: tuple[int, ...] = tuple(range(10)), count: int = 5, seed: int = 1) -> tuple[GraphOptions, DataFrame]:
     """The best options and (r, d, auc) of n_iter drawn settings, by the mean area over folds; ties go to the smaller setting.
 
@@ -146,7 +90,8 @@ def model_selection(vertices: DataFrame, edges: DataFrame, targets: DataFrame, o
     settings = sorted({(draw.choice(radii), draw.choice(distances)) for _ in range(n_iter)})
     scores = []
     for r, d in settings:
-        vectors = as_vectors(graph_vectorizer.vectorize(vertices, edges, options.set_params(r=r, d=d)), ["graph_id"], options.nbits).join(targets, "graph_id")
-        scores.append((r, d, cross_validated_auc(vectors, "graph_id", label, count, seed).agg(F.avg("auc")).first()[0]))  # one number a setting
+        features = graph_vectorizer.vectorize(vertices, edges, options.set_params(r=r, d=d))
+        rows = cut(training.examples(features, targets.select("graph_id", F.col(label).alias("label")), "graph_id"))
+        scores.append((r, d, training.cross_validated_auc(rows, "graph_id", options.nbits, count, seed).agg(F.avg("auc")).first()[0]))  # one number a setting
     r, d, _ = max(scores, key=lambda s: (s[2], -s[0], -s[1]))
     return options.set_params(r=r, d=d), vertices.sparkSession.createDataFrame(scores, "r int, d int, auc double")

@@ -59,13 +59,20 @@ for _name, _op, _at_least in (("degree_filter_ge", ">=", True), ("degree_filter_
         f"WITH {SOCIAL}, k AS ({_INDUCED.format(_op)}) SELECT 0::BIGINT AS graph_id, vid AS a, -1::BIGINT AS b FROM k UNION ALL SELECT 0, u, w FROM se WHERE u IN (FROM k) AND w IN (FROM k)",
     )
 
+
+def _intervals(s: SparkSession, sf: str) -> DataFrame:
+    """Blocks of three of the part table's rows."""
+    n = C.table(s, sf, "part").count()
+    return s.createDataFrame([(n, b, e) for b, e in sampling.intervals(n, block_size=3)], "size long, begin long, end long")
+
+
 # Samples.
 query("balance_topk", lambda s, sf: sampling.balance(scored_labels(s, sf).withColumn("m", F.col("score") - 0.5), "doc_id", "y", "m").select("doc_id", "y"), f"WITH {LABELS}, c AS (SELECT y, count(*) AS n FROM l GROUP BY y), m AS (SELECT y, n FROM c ORDER BY n, y LIMIT 1) SELECT doc_id, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY abs(score - 0.5), doc_id) AS k FROM l) WHERE y = (SELECT y FROM m) OR k <= 2 * (SELECT n FROM m)")
 query("subsample_per_class", lambda s, sf: sampling.subsample(scored_labels(s, sf), "doc_id", "y", 60).select("doc_id", "y"), f"WITH {LABELS} SELECT doc_id, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY doc_id) AS k FROM l) WHERE k <= 60 // (SELECT count(DISTINCT y) FROM l)")
 query("train_test_split", lambda s, sf: sampling.train_test_split(scored_labels(s, sf), "doc_id", "y").select("doc_id", "y", "is_test"), f"WITH {LABELS} SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY {H(chr(39) + '2' + chr(39), 'doc_id')}, doc_id) <= floor(count(*) OVER (PARTITION BY y) * 0.3::DOUBLE) AS is_test FROM l")
 query("bipartition", lambda s, sf: sampling.bipartition(scored_labels(s, sf), "doc_id").select("doc_id", "part"), f"WITH {LABELS} SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {H(chr(39) + '0' + chr(39), 'doc_id')}, doc_id) <= floor(count(*) OVER () * 0.7::DOUBLE) THEN 0 ELSE 1 END AS part FROM l")
 query("make_data_matrix", lambda s, sf: rounded(sampling.data_matrix(graph_vectorizer.vectorize(*C.name_graphs(s, sf), BASE)), "value"), graph_ctes(C.NAMES_SQL, BASE) + " SELECT graph_id, 1 AS y, feature, round(value, 6) + 0.0 AS value FROM result UNION ALL SELECT graph_id, -1, feature, round(-value, 6) + 0.0 FROM result")
-query("compute_intervals", lambda s, sf: s.createDataFrame([(n, b, e) for n in (9, 10, 11, 13) for b, e in sampling.intervals(n, block_size=3)], "size long, begin long, end long"), "WITH s(size) AS (VALUES (9), (10), (11), (13)), b AS (SELECT size, unnest(range(0, size - 2, 3)) AS begin FROM s), r AS (SELECT size, begin, begin + 3 AS end_ FROM b UNION ALL SELECT size, size - size % 3, size FROM s WHERE size % 3 = 2) SELECT size::BIGINT AS size, begin, CASE WHEN size - end_ = 1 THEN size ELSE end_ END AS \"end\" FROM r")
+query("compute_intervals", lambda s, sf: _intervals(s, sf), "WITH s(size) AS (SELECT count(*) FROM part), b AS (SELECT size, unnest(range(0, size - 2, 3)) AS begin FROM s), r AS (SELECT size, begin, begin + 3 AS end_ FROM b UNION ALL SELECT size, size - size % 3, size FROM s WHERE size % 3 = 2) SELECT size::BIGINT AS size, begin, CASE WHEN size - end_ = 1 THEN size ELSE end_ END AS \"end\" FROM r")
 
 # Metrics.
 query("confusion_matrix", lambda s, sf: metrics.confusion_matrix(scored_labels(s, sf), "y", "predicted"), f"WITH {LABELS} SELECT y AS truth, predicted, count(*) AS n FROM l GROUP BY ALL")
@@ -89,13 +96,13 @@ query(
 def _pairs_of_roles(s: SparkSession, sf: str):
     vertices, edges = C.role_graphs(s, sf)
     steps = edges.filter("not nesting").drop("nesting", "weight")
-    pairs = steps.filter("src % 2 = 1").select((F.col("graph_id") * 1000 + F.col("src")).alias("pair_id"), "graph_id", F.col("src").alias("u"), F.col("dst").alias("v"))
+    pairs = steps.select((F.col("graph_id") * (1 << 24) + F.col("src")).alias("pair_id"), "graph_id", F.col("src").alias("u"), F.col("dst").alias("v"))
     return links.neighborhood_pairs(vertices, steps, pairs, 2)
 
 
 query(
     "neighborhood_pairs", lambda s, sf: (lambda g: g[0].select("graph_id", F.col("vid").alias("a"), F.lit(-1).cast("long").alias("b"), "label").unionByName(g[1].select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), "label")))(_pairs_of_roles(s, sf)),
-    "WITH c AS (SELECT conv_id AS g, turn AS v, role FROM conversations), m AS (SELECT g, max(v) AS last FROM c GROUP BY g), p AS (SELECT a.g * 1000 + a.v AS id, a.g, a.v AS x, b.v AS y FROM c a JOIN c b ON a.g = b.g AND b.v = a.v + 1 WHERE a.v % 2 = 1), "
+    "WITH c AS (SELECT conv_id AS g, turn AS v, role FROM conversations), m AS (SELECT g, max(v) AS last FROM c GROUP BY g), p AS (SELECT a.g * 16777216 + a.v AS id, a.g, a.v AS x, b.v AS y FROM c a JOIN c b ON a.g = b.g AND b.v = a.v + 1), "
     "i AS (SELECT id, c.v, role FROM p JOIN c ON c.g = p.g AND c.v BETWEEN x - 2 AND y + 2) "
     "SELECT id AS graph_id, v AS a, -1::BIGINT AS b, role AS label FROM i UNION ALL SELECT id, last + 1, -1, '#' FROM p JOIN m USING (g) UNION ALL SELECT id, x, last + 1, '#' FROM p JOIN m USING (g) UNION ALL SELECT id, y, last + 1, '#' FROM p JOIN m USING (g) "
     "UNION ALL SELECT a.id, a.v, b.v, '-' FROM i a JOIN i b ON a.id = b.id AND b.v = a.v + 1 JOIN p ON p.id = a.id WHERE a.v <> p.x",
@@ -179,8 +186,12 @@ def _same_place(s: SparkSession, sf: str) -> DataFrame:
 
 _PLACES = f"v AS ({C.NAMES_SQL[0]}), p AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND p_partkey > 0), m AS (SELECT id, a.vid, a.label AS x, b.label AS y FROM p JOIN v a ON a.graph_id = id JOIN v b ON b.graph_id = id - 1 AND b.vid = a.vid), n AS (SELECT id, count(*) AS na, (SELECT count(*) FROM v b WHERE b.graph_id = id - 1) AS nb FROM p JOIN v ON graph_id = id GROUP BY id)"
 query("matching_edges_fraction", lambda s, sf: rounded(align.matching_edges_fraction(C.name_graphs(s, sf)[1], _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_PLACES} SELECT id AS pair_id, round((least(na, nb) - 1)::DOUBLE / (na - 1), 6) + 0.0 AS fraction FROM n")
-query("matching_neighborhoods_fraction", lambda s, sf: rounded(align.matching_neighborhoods_fraction(C.name_graphs(s, sf)[1], _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_PLACES} SELECT id AS pair_id, round((least(na, nb) - CASE WHEN na > nb THEN 1 ELSE 0 END)::DOUBLE / least(na, nb), 6) + 0.0 AS fraction FROM n")
-query("max_common_subgraph", lambda s, sf: align.common_subgraphs(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf)).groupBy("pair_id").agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts")), f"WITH {_PLACES}, e AS (SELECT id, vid, vid - row_number() OVER (PARTITION BY id ORDER BY vid) AS island FROM m WHERE x = y), c AS (SELECT id, island, count(*) AS n FROM e GROUP BY ALL) SELECT id AS pair_id, max(n) AS largest, count(*) AS parts FROM c GROUP BY id")
+query("matching_neighborhoods_fraction", lambda s, sf: rounded(align.matching_neighborhoods_fraction(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_PLACES} SELECT id AS pair_id, round(CASE WHEN least(na, nb) < 2 THEN 0 WHEN na <= nb THEN 1 ELSE (nb - 1) / na END, 6) + 0.0 AS fraction FROM n")
+#: Runs of places at kept edges with equal labels; b's own edges join runs that touch.
+_COMMON = f"{_PLACES}, k AS (SELECT id, vid FROM m WHERE x = y), e AS (SELECT a.id, a.vid FROM k a JOIN k b ON a.id = b.id AND b.vid = a.vid + 1), w AS (SELECT id, vid FROM e UNION SELECT id, vid + 1 FROM e), i AS (SELECT id, vid - row_number() OVER (PARTITION BY id ORDER BY vid) AS island FROM w), c AS (SELECT id, island, count(*) AS n FROM i GROUP BY ALL)"
+query("max_common_subgraph", lambda s, sf: align.common_subgraphs(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf)).groupBy("pair_id").agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts")), f"WITH {_COMMON} SELECT id AS pair_id, max(n) AS largest, count(*) AS parts FROM c GROUP BY id")
+query("largest_common_fraction", lambda s, sf: rounded(align.largest_common_fraction(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf)), "fraction"), f"WITH {_COMMON} SELECT id AS pair_id, round(coalesce((SELECT max(c.n) FROM c WHERE c.id = n.id) / nb, 0), 6) + 0.0 AS fraction FROM n")
+query("matching_quality", lambda s, sf: rounded(align.matching_quality(*C.name_graphs(s, sf), _name_pairs(s, sf), _same_place(s, sf)), "quality"), f"WITH {_COMMON} SELECT id AS pair_id, round(coalesce((SELECT sum(c.n) FROM c WHERE c.id = n.id) / nb, 0), 6) + 0.0 AS quality FROM n")
 
 
 def _vector_gaps(s: SparkSession, sf: str) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.functions.lineage import cut
-from vicinage.operators import graph_vectorizer, learning, sequence_vectorizer
+from vicinage.operators import graph_vectorizer, learning, metrics, sequence_vectorizer, training
 from vicinage.operators.options import GraphOptions, SequenceOptions
-from vicinage.plans.registry import query
+from vicinage.plans.registry import query, rounded
 from vicinage.sources import corpora as C
 
 BITS = 14
@@ -22,9 +22,20 @@ def _vectors(s: SparkSession, sf: str) -> DataFrame:
     return learning.as_vectors(features, ["graph_id"], BITS).join(labels, "graph_id")
 
 
+def _examples(s: SparkSession, sf: str) -> DataFrame:
+    """The same as rows of features and values."""
+    labels = C.table(s, sf, "part").select(F.col("p_partkey").alias("graph_id"), (F.col("p_name") < "m").cast("int").alias("label"))
+    return cut(training.examples(graph_vectorizer.vectorize(*C.name_graphs(s, sf), NAMES), labels, "graph_id"))
+
+
+def _decided(rows: DataFrame, key: str, train: str = "true") -> DataFrame:
+    """Margins of all examples under a model of those that the condition takes."""
+    models = training.fitted(rows.filter(train), key, BITS)
+    return training.margins(training.masked(rows, [F.lit(True)]), models, key)
+
+
 def _predicted(s: SparkSession, sf: str) -> DataFrame:
-    vectors = _vectors(s, sf).cache()
-    return learning.decision(learning.fit(vectors), vectors).select("graph_id", "label", F.round("margin", 4).alias("margin"), F.col("prediction").cast("int").alias("prediction"))
+    return _decided(_examples(s, sf), "graph_id").select("graph_id", "label", F.round("margin", 4).alias("margin"), (F.col("margin") > 0).cast("int").alias("prediction"))
 
 
 def _regressed(s: SparkSession, sf: str) -> DataFrame:
@@ -34,10 +45,11 @@ def _regressed(s: SparkSession, sf: str) -> DataFrame:
 
 query("fit_predict", _predicted)
 query("regress", _regressed)
-query("cross_val_auc", lambda s, sf: learning.cross_validated_auc(_vectors(s, sf), "graph_id", count=3))
-query("learning_curve", lambda s, sf: learning.learning_curve(_vectors(s, sf), "graph_id", steps=3, count=3))
-query("bias_variance", lambda s, sf: learning.bias_variance(_vectors(s, sf), "graph_id", count=2, n_bootstraps=2))
-query("predictive_performance", lambda s, sf: learning.predictive_performance(_vectors(s, sf), "graph_id", n_splits=2))
+query("cross_val_auc", lambda s, sf: rounded(training.cross_validated_auc(_examples(s, sf), "graph_id", BITS), "auc", "average_precision"))
+query("learning_curve", lambda s, sf: rounded(training.learning_curve(_examples(s, sf), "graph_id", BITS), "train_auc", "test_auc"))
+query("bias_variance", lambda s, sf: rounded(training.bias_variance(_examples(s, sf), "graph_id", BITS), "mean", "std"))
+query("predictive_performance", lambda s, sf: rounded(training.predictive_performance(_examples(s, sf), "graph_id", BITS), "average_precision"))
+query("model_search", lambda s, sf: rounded(training.search(_examples(s, sf), "graph_id", BITS)[3], "mean", "deviation"))
 query("cluster", lambda s, sf: learning.cluster(_vectors(s, sf), 8).select("graph_id", "cluster"))
 
 
@@ -52,8 +64,7 @@ query("auto_label", _relabelled)
 def _sequence_predictions(s: SparkSession, sf: str) -> DataFrame:
     features = sequence_vectorizer.vectorize(C.names(s, sf), SequenceOptions(r=1, d=1, nbits=BITS))
     labels = C.table(s, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_name") < "m").cast("int").alias("label"))
-    vectors = learning.as_vectors(features, ["id"], BITS).join(labels, "id").cache()
-    return learning.decision(learning.fit(vectors), vectors).select("id", "label", F.round("margin", 4).alias("margin"))
+    return _decided(cut(training.examples(features, labels, "id")), "id").select("id", "label", F.round("margin", 4).alias("margin"))
 
 
 query("sequence_predict", _sequence_predictions)
@@ -61,8 +72,8 @@ query("sequence_predict", _sequence_predictions)
 
 def _reports(s: SparkSession, sf: str) -> DataFrame:
     """A model of the even ids on the odd ones."""
-    vectors = cut(_vectors(s, sf))
-    return learning.estimate_model(learning.fit(vectors.filter("graph_id % 2 = 0")), vectors.filter("graph_id % 2 = 1"))[1]
+    scored = _decided(_examples(s, sf), "graph_id", "graph_id % 2 = 0").filter("graph_id % 2 = 1")
+    return metrics.class_report(scored.withColumn("prediction", (F.col("margin") > 0).cast("int")), "label", "prediction")
 
 
 def _selection(s: SparkSession, sf: str) -> DataFrame:

@@ -95,6 +95,6 @@ def _multiclass(spark, sf):
 query(
     "annotate_multiclass", _multiclass,
     graph_ctes(C.NAMES_SQL, BASE, by_vertex=True) + f", scores AS (SELECT graph_id, vid, {_SCORES} FROM result GROUP BY ALL), decided AS (SELECT *, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS class FROM scores), "
-    "sized AS (SELECT *, list_value(0.05::DOUBLE, -0.1::DOUBLE, 0.2::DOUBLE)[class + 1] AS b, count(*) OVER (PARTITION BY graph_id) AS n FROM decided) "
+    f"sized AS (SELECT *, list_value(0.05::DOUBLE, -0.1::DOUBLE, 0.2::DOUBLE)[class + 1] AS b, count(*) OVER (PARTITION BY graph_id) + (SELECT count(*) FROM ({C.NAMES_SQL[1]}) k WHERE k.graph_id = decided.graph_id) AS n FROM decided) "
     "SELECT v.graph_id, v.vid, v.label, CAST(class AS INTEGER) AS class, round(greatest(s0, s1, s2) - b + b / n, 6) + 0.0 AS importance, round(abs(greatest(s0, s1, s2) - b + b / n), 6) + 0.0 AS weight FROM v JOIN sized USING (graph_id, vid)",
 )
