@@ -36,11 +36,54 @@ def non_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(b, "graph_id").filter("u < v").join(simple_edges(edges).select("graph_id", "u", "v"), ["graph_id", "u", "v"], "left_anti")
 
 
+#: Primes; the first one that doesn't divide a graph's number of pairs steps through all of them.
+STEPS = (1_000_000_007, 998_244_353, 2_147_483_647, 1_000_000_009)
+
+
+def _numbered(vertices: DataFrame, edges: DataFrame, ratio: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """graph_id, vid, rank (0, 1, ...) of vertices by a hash, and graph_id, n, n_pairs, wanted, step, shift of graphs with edges.
+
+    wanted: how many non-edges the graph is to give, ratio times its edges or all that there are.
+    """
+    ranks = placed(vertices.select("graph_id", "vid").distinct(), drawn(f"{seed}v", "graph_id", "vid"), ["vid"], "graph_id").select("graph_id", "vid", (F.col("place") - 1).alias("rank"), F.col("total").alias("n"))
+    m = simple_edges(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
+    graphs = ranks.groupBy("graph_id").agg(F.max("n").alias("n")).join(m, "graph_id").withColumn("n_pairs", F.floor(F.col("n") * (F.col("n") - 1) / 2))
+    step = F.coalesce(*[F.when(F.col("n_pairs") % p != 0, F.lit(p)) for p in STEPS]).cast("decimal(38,0)")
+    wanted = F.least(F.col("m") * ratio, F.col("n_pairs") - F.col("m"))
+    return ranks.drop("n"), graphs.select("graph_id", "n", "n_pairs", "m", wanted.alias("wanted"), step.alias("step"), (drawn(f"{seed}p", "graph_id") % F.col("n_pairs")).alias("shift"))
+
+
+def sampled_non_edges(vertices: DataFrame, edges: DataFrame, ratio: int = 10, seed: int = 1) -> DataFrame:
+    """graph_id, u < v: ratio times as many pairs without an edge as there are edges, or all there are.
+
+    All pairs of a graph's n vertices have numbers: number p joins the vertices of rank p % n and that plus p // n + 1,
+    modulo n. The k-th draw is number (step * k + shift) % n_pairs, so no pair comes twice and each one comes. As many
+    draws as are wanted and as could be edges meet the edges in an anti join; the first ones that are left are taken,
+    and the pairs that are never drawn are never made.
+    """
+    ranks, graphs = _numbered(vertices, edges, ratio, seed)
+    draws = F.least(F.col("wanted") + F.col("m"), F.col("n_pairs"))
+    rows = graphs.filter("wanted > 0").select("graph_id", "n", "n_pairs", "wanted", "step", "shift", draws.alias("draws"))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / DRAWS))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("at") * DRAWS, F.least(F.col("draws"), (F.col("at") + 1) * DRAWS) - 1)))
+    number = ((F.col("step") * F.col("k").cast("decimal(19,0)") + F.col("shift")) % F.col("n_pairs")).cast("long")
+    one, away = F.col("number") % F.col("n"), F.floor(F.col("number") / F.col("n")) + 1
+    drawn_ = rows.withColumn("number", number).select("graph_id", "wanted", "k", one.alias("x"), ((one + away) % F.col("n")).alias("y"))
+    for x in "xy":
+        drawn_ = drawn_.join(ranks.select("graph_id", F.col("rank").alias(x), F.col("vid").alias(f"vid_{x}")), ["graph_id", x])
+    pairs = drawn_.select("graph_id", "wanted", "k", F.least("vid_x", "vid_y").alias("u"), F.greatest("vid_x", "vid_y").alias("v"))
+    left = pairs.join(simple_edges(edges).select("graph_id", "u", "v"), ["graph_id", "u", "v"], "left_anti")
+    return placed(left, F.col("k"), ["k"], "graph_id").filter("place <= wanted").select("graph_id", "u", "v")
+
+
+#: Draws that one row is unfolded to at a time.
+DRAWS = 65_536
+
+
 def link_split(vertices: DataFrame, edges: DataFrame, test_proportion: float = 0.3, ratio: int = 10, seed: int = 1) -> DataFrame:
-    """graph_id, u, v, y, is_test: edges (1) and at most ratio times as many non-edges (0), drawn by hash, split each class."""
+    """graph_id, u, v, y, is_test: edges (1) and at most ratio times as many non-edges (0), drawn without repeats, split each class."""
     positive = simple_edges(edges).select("graph_id", "u", "v", F.lit(1).alias("y"))
-    allowed = positive.groupBy("graph_id").agg((F.count(F.lit(1)) * ratio).alias("most"))
-    negative = placed(non_edges(vertices, edges), drawn(seed, "graph_id", "u", "v"), ["u", "v"], "graph_id").join(allowed, "graph_id").filter("place <= most").select("graph_id", "u", "v", F.lit(0).alias("y"))
+    negative = sampled_non_edges(vertices, edges, ratio, seed).withColumn("y", F.lit(0))
     rows = placed(positive.unionByName(negative), drawn(f"{seed}s", "graph_id", "u", "v"), ["u", "v"], "graph_id", "y")
     return rows.select("graph_id", "u", "v", "y", (F.col("place") <= F.floor(F.col("total") * test_proportion)).alias("is_test"))
 

@@ -85,7 +85,9 @@ query("class_report", lambda s, sf: rounded(metrics.class_report(scored_labels(s
 
 # Links.
 query("non_edges", lambda s, sf: links.non_edges(*social(s, sf)), f"WITH {SOCIAL} SELECT a.graph_id, a.vid AS u, b.vid AS v FROM sv a JOIN sv b ON a.vid < b.vid WHERE NOT EXISTS (FROM se WHERE u = a.vid AND w = b.vid)")
-_SPLIT = f"WITH {SOCIAL}, p AS (SELECT graph_id, u, w AS v, 1 AS y FROM se), q AS (SELECT * FROM (SELECT a.graph_id, a.vid AS u, b.vid AS v, 0 AS y, row_number() OVER (ORDER BY {H(chr(39) + '1' + chr(39), 'a.graph_id', 'a.vid', 'b.vid')}, a.vid, b.vid) AS k FROM sv a JOIN sv b ON a.vid < b.vid WHERE NOT EXISTS (FROM se WHERE u = a.vid AND w = b.vid)) WHERE k <= 10 * (SELECT count(*) FROM se)), a AS (SELECT * FROM p UNION ALL SELECT graph_id, u, v, y FROM q)"
+_RANKS = f"r AS (SELECT vid, row_number() OVER (ORDER BY {H(chr(39) + '1v' + chr(39), 'graph_id', 'vid')}, vid) - 1 AS rank FROM sv), c AS (SELECT count(*) AS n, count(*) * (count(*) - 1) // 2 AS n_pairs, (SELECT count(*) FROM se) AS m FROM sv), g AS (SELECT *, least(10 * m, n_pairs - m) AS wanted, [p for p in {list(links.STEPS)} if n_pairs % p <> 0][1] AS step, {H(chr(39) + '1p' + chr(39), '0')} % n_pairs AS shift FROM c)"
+_DRAWS = "k AS (SELECT k, n, wanted, CAST((CAST(step AS HUGEINT) * k + shift) % n_pairs AS BIGINT) AS number FROM g, range((SELECT least(wanted + m, n_pairs) FROM g)) t(k)), d AS (SELECT k, wanted, least(a.vid, b.vid) AS u, greatest(a.vid, b.vid) AS v FROM k JOIN r a ON a.rank = number % n JOIN r b ON b.rank = (number % n + number // n + 1) % n)"
+_SPLIT = f"WITH {SOCIAL}, {_RANKS}, {_DRAWS}, p AS (SELECT graph_id, u, w AS v, 1 AS y FROM se), q AS (SELECT 0::BIGINT AS graph_id, u, v, 0 AS y FROM (SELECT *, row_number() OVER (ORDER BY k) AS place FROM d WHERE NOT EXISTS (FROM se WHERE se.u = d.u AND se.w = d.v)) WHERE place <= wanted), a AS (SELECT * FROM p UNION ALL SELECT * FROM q)"
 query("link_pred_split", lambda s, sf: links.link_split(*social(s, sf)), _SPLIT + f" SELECT *, row_number() OVER (PARTITION BY y ORDER BY {H(chr(39) + '1s' + chr(39), 'graph_id', 'u', 'v')}, u, v) <= floor(count(*) OVER (PARTITION BY y) * 0.3::DOUBLE) AS is_test FROM a")
 query(
     "all_pairs_path", lambda s, sf: links.path_lengths(*social(s, sf), 3),
@@ -156,7 +158,22 @@ def _read_gspan(s: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(lines).join(named, ["file", "graph_id"]).select("number", "a", "b", "label", "weight")
 
 
-query("read_gspan", _read_gspan, f"WITH v AS ({C.NAMES_SQL[0]}), e AS ({C.NAMES_SQL[1]}) SELECT graph_id AS number, vid AS a, -1::BIGINT AS b, CASE WHEN label = ' ' THEN '_' ELSE label END AS label, CASE WHEN vid % 7 = 6 THEN 0.5::DOUBLE WHEN vid % 5 = 4 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM v UNION ALL SELECT graph_id, src, dst, '-', 1.0 FROM e")
+_GSPAN_ROWS = f"WITH v AS ({C.NAMES_SQL[0]}), e AS ({C.NAMES_SQL[1]}) SELECT graph_id AS number, vid AS a, -1::BIGINT AS b, CASE WHEN label = ' ' THEN '_' ELSE label END AS label, CASE WHEN vid % 7 = 6 THEN 0.5::DOUBLE WHEN vid % 5 = 4 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM v UNION ALL SELECT graph_id, src, dst, '-', 1.0 FROM e"
+query("read_gspan", _read_gspan, _GSPAN_ROWS)
+
+
+def _read_gspan_files(s: SparkSession, sf: str) -> DataFrame:
+    """The same after the lines were written to several files and read from their splits."""
+    path = f"{shared_folder(s)}/gspan-{uuid.uuid4().hex}"
+    _gspan_text(s, sf).repartition(7, "file").sortWithinPartitions("file", "line_no").select("value").write.text(path)
+    graphs, vertices, edges = formats.read_gspan(formats.read_file_lines(s, path), "file", "block")
+    named = graphs.select("file", "graph_id", F.regexp_extract("header", r"(\d+)", 1).cast("long").alias("number"))
+    own = vertices.select("file", "graph_id", F.col("vid").alias("a"), F.lit(-1).cast("long").alias("b"), "label", "weight")
+    lines = edges.select("file", "graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), "label", F.col("len").alias("weight"))
+    return own.unionByName(lines).join(named, ["file", "graph_id"]).select("number", "a", "b", "label", "weight")
+
+
+query("read_gspan_files", _read_gspan_files, _GSPAN_ROWS)
 query("write_gspan", lambda s, sf: formats.gspan_lines(*C.name_graphs(s, sf)).select("graph_id", "kind", "a", "b", "value"), f"WITH v AS ({C.NAMES_SQL[0]}), e AS ({C.NAMES_SQL[1]}) SELECT DISTINCT graph_id, 0 AS kind, -1::BIGINT AS a, -1::BIGINT AS b, 't # ' || graph_id AS value FROM v UNION ALL SELECT graph_id, 1, vid, -1, 'v ' || vid || ' ' || label FROM v UNION ALL SELECT graph_id, 2, src, dst, 'e ' || src || ' ' || dst || ' ' || label FROM e")
 
 

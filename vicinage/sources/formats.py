@@ -18,18 +18,39 @@ def read_lines(spark: SparkSession, source: str | list[str]) -> DataFrame:
     return spark.read.text(source).select(F.monotonically_increasing_id().alias("line_no"), "value")
 
 
-def read_gspan(lines: DataFrame, document: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block (where a split of the file begins), line_no (rising within a block), value."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("line_no"), "value")
+
+
+def _begun(rows: DataFrame, document: str | None, block: str | None) -> DataFrame:
+    """``rows`` with graph_id: how many of the document's heads are not behind the row.
+
+    With blocks, heads are counted within each one and carried on over the counts of the document's blocks before it.
+    """
+    own = [c for c in (document, block) if c]
+    within = Window.partitionBy(*(own or [F.lit(0)])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("graph_id", F.sum("head").over(within).cast("long"))
+    if not block:
+        return rows
+    before = Window.partitionBy(document).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(*own).agg(F.sum("head").alias("_heads")).select(*own, F.coalesce(F.sum("_heads").over(before), F.lit(0)).alias("_before"))
+    return rows.join(heads, own).withColumn("graph_id", F.col("graph_id") + F.col("_before")).drop("_before")
+
+
+def read_gspan(lines: DataFrame, document: str | None = None, block: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """graphs (graph_id, header), vertices (graph_id, vid, label, weight, attrs), edges (graph_id, src, dst, label, len, attrs).
 
     A line that begins with g or t begins a graph; lines before the first one are graph 0 with an empty header. Blank
     lines and unknown codes are skipped. V is a vertex of weight 0.1, v one of weight 1; JSON behind the label gives
     attributes, of which ``label`` and ``weight`` override. A graph without vertices has a row in graphs alone.
-    ``document`` names a column that keeps the lines of different files apart.
+    ``document`` names a column that keeps the lines of different files apart, ``block`` one that cuts each file into
+    parts in order, so that no task holds a file; read_file_lines() has both.
     """
-    within = Window.partitionBy(*([document] if document else [F.lit(0)])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     code = F.substring(F.trim("value"), 1, 1)
     rows = lines.filter(F.trim("value") != "").withColumn("code", code).withColumn("head", F.col("code").isin("g", "t").cast("int"))
-    rows = rows.withColumn("graph_id", F.sum("head").over(within).cast("long"))
+    rows = _begun(rows, document, block)
     keys = [document, "graph_id"] if document else ["graph_id"]
     graphs = rows.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("head") == 1, F.trim("value"))), F.lit("")).alias("header"))
     words = F.split(F.trim("value"), r"\s+")
