@@ -56,6 +56,14 @@ def test_odd_rows(spark, odd, none, tokenizer):
     assert P.packing_stage(spark, none, "").collect() == []
 
 
+def test_null_and_large_ids_stay_apart(spark, odd_with_null_id, tokenizer):
+    """Ids above 2 ** 53, which a double can't hold, beside a null one in one group."""
+    large = [(9_007_199_254_740_993, "one two"), (9_007_199_254_740_992, "three"), (None, "no id here"), (3, "four five six")]
+    check(P.packing_stage(spark, spark.createDataFrame(large, "doc_id long, text string"), "").collect(), large, tokenizer, 0.01)
+    docs = [tuple(r) for r in odd_with_null_id.select("doc_id", "text").collect()]
+    check(P.packing_stage(spark, odd_with_null_id, "").collect(), docs, tokenizer, 0.9)
+
+
 def test_special_strings_are_what_the_tokenizer_says(spark, tokenizer):
     docs = [(1, "before <|endoftext|> after"), (2, "<|endoftext|>"), (3, "<|")]
     check(P.packing_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect(), docs, tokenizer, 0)

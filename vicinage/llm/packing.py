@@ -136,11 +136,13 @@ def pack(cut_pieces: DataFrame, max_tokens: int = 1024, max_segments: int = 128,
     """Place the pieces of :func:`pieces`: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``cut_pieces`` must be materialised: pieces are dealt over the groups by their place in it, so that repeated
-    documents spread as well as others. Each group leaves about one sequence short of full. Empty input: no rows.
+    documents spread as well as others. Each group leaves about one sequence short of full. Null ids stay null. Empty
+    input: no rows.
     """
     count = cut_pieces.count()
     groups = max(1, -(-count // GROUP))
     limits = np.array([max_tokens, max_segments, max_loss])
+    names = [c.split()[0] for c in PLACED.split(", ")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start"], kind="stable").reset_index(drop=True)
@@ -151,10 +153,13 @@ def pack(cut_pieces: DataFrame, max_tokens: int = 1024, max_segments: int = 128,
             offset[rows] = np.cumsum(length[rows]) - length[rows]
         group["sequence_id"] = (int(group["_group"].iloc[0]) << 24) | of
         group["offset"] = offset
-        return group[[c.split()[0] for c in PLACED.split(", ")]]
+        return group[[*names, "_named"]]
 
-    dealt = cut_pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(run, PLACED)
+    # A null among a group's longs would make them doubles, which can't tell large ids apart.
+    named = {"_named": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))}
+    dealt = cut_pieces.withColumns({"_group": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)), **named})
+    found = dealt.groupBy("_group").applyInPandas(run, PLACED + ", _named boolean")
+    return found.select(F.when(F.col("_named"), F.col("doc_id")).alias("doc_id"), *names[1:])
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
