@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from vicinage.operators import embedding, graph_vectorizer, linkage
+from vicinage.operators import embedding, graph_vectorizer, linkage, motifs
 from vicinage.operators.options import GraphOptions
 from vicinage.sources import corpora as C
 
@@ -59,3 +59,17 @@ def test_svd_of_few_directions(spark):
     placed, values = embedding.truncated_svd(spark.createDataFrame(rows, "graph_id long, feature long, value double"), 3)
     assert len(values) == 1 and abs(values[0] - 150**0.5) < 1e-9 and placed.columns == ["graph_id", "c0"]
     assert embedding.truncated_svd(spark.createDataFrame([], "graph_id long, feature long, value double"))[0].collect() == []
+
+
+def test_stretches_over_segments(spark):
+    """Runs that cross segments of all lengths, beside all runs."""
+    pick, rows, best = random.Random(6), [], {}
+    for key in range(30):
+        values = [pick.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 2.0]) * pick.choice([1, 1, -1 if key % 3 else 1]) for _ in range(pick.choice([1, 2, 7, 40]))]
+        if key % 5 == 0:
+            values = [-abs(v) - 1 for v in values]
+        best[key] = max(sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1))
+        rows += [(key, k // 4, k, v) for k, v in enumerate(values)]
+    pick.shuffle(rows)
+    found = motifs.max_stretches(spark.createDataFrame(rows, "id long, segment long, k long, x double"), "id", "segment", ["k"], "x")
+    assert {r["id"]: r["score"] for r in found.collect()} == best

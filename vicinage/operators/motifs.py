@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,26 @@ def sequence_and_score(vertices: DataFrame) -> DataFrame:
     each = each.withColumn("label", F.when(wrong, F.raise_error(F.lit("a vertex without position, or labels that differ at one position"))).otherwise(F.col("label")))
     lists = each.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("position", "label", "score"))).alias("p"))
     return lists.select("graph_id", F.transform("p", lambda p: p["label"]).alias("tokens"), F.transform("p", lambda p: p["score"]).alias("score"))
+
+
+def max_stretches(rows: DataFrame, key: str, segment: str, order: list[str], value: str) -> DataFrame:
+    """key, score: the largest sum of a run of successive values of each key, one value at least.
+
+    rows are ordered by segment and, within it, by ``order``. A segment is summed up by its total, the largest and the
+    smallest of its running sums and the best run inside it; runs over several segments follow from these and the
+    totals before. So no task holds more than a segment, or one row for each segment of a key.
+    """
+    within = Window.partitionBy(key, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(key, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.withColumn("_sum", F.sum(value).over(within))
+    sums = sums.withColumn("_low", F.least(F.lit(0.0), F.coalesce(F.min("_sum").over(earlier), F.lit(0.0))))
+    parts = sums.groupBy(key, segment).agg(F.sum(value).alias("total"), F.max("_sum").alias("high"), F.least(F.lit(0.0), F.min("_sum")).alias("low"), F.max(F.col("_sum") - F.col("_low")).alias("inside"))
+    before = Window.partitionBy(key).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    parts = parts.withColumn("_across", F.col("_before") + F.col("high") - F.min(F.col("_before") + F.col("low")).over(before))
+    return parts.groupBy(key).agg(F.max(F.greatest("inside", "_across")).alias("score"))
+
+
+def smallest_positives(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, base: the smallest positive value of each key, -1 where there is none."""
+    return rows.groupBy(key).agg(F.coalesce(F.min(F.when(F.col(value) > 0, F.col(value))), F.lit(-1.0)).alias("base"))

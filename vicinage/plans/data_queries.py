@@ -122,10 +122,18 @@ def _event_scores(s: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "tokens", F.transform("weights", lambda w: F.round(w * 100 - F.col("mean"), 3)).alias("score"))
 
 
+def _event_rows(s: SparkSession, sf: str) -> DataFrame:
+    """id, day, ts, event_id, score: a row an event."""
+    events = C.table(s, sf, "events")
+    mean = events.agg(F.avg("value").alias("mean"))
+    rows = events.crossJoin(F.broadcast(mean))  # one row
+    return rows.select(F.col("user_id").alias("id"), F.to_date("ts").alias("day"), "ts", "event_id", F.round(F.col("value") - F.col("mean"), 3).alias("score"))
+
+
 _SCORES = "z AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, round(value - (SELECT avg(value) FROM events), 3) AS x, substring(event_type, 1, 1) AS token FROM events)"
-query("max_subarray", lambda s, sf: rounded(_event_scores(s, sf).select("id", motifs.max_subarray(F.col("score")).alias("m")).select("id", F.col("m.score").alias("score")), "score", places=3), f"WITH {_SCORES}, t AS (SELECT id, k, sum(x) OVER (PARTITION BY id ORDER BY k) AS c FROM z), a AS (SELECT * FROM t UNION ALL SELECT DISTINCT id, -1, 0 FROM t) SELECT e.id, round(max(e.c - b.c), 3) + 0.0 AS score FROM t e JOIN a b ON b.id = e.id AND b.k < e.k GROUP BY e.id")
+query("max_subarray", lambda s, sf: rounded(motifs.max_stretches(_event_rows(s, sf), "id", "day", ["ts", "event_id"], "score"), "score", places=3), f"WITH {_SCORES}, t AS (SELECT id, k, sum(x) OVER (PARTITION BY id ORDER BY k) AS c FROM z), a AS (SELECT * FROM t UNION ALL SELECT DISTINCT id, -1, 0 FROM t) SELECT e.id, round(max(e.c - b.c), 3) + 0.0 AS score FROM t e JOIN a b ON b.id = e.id AND b.k < e.k GROUP BY e.id")
 query("iterated_max_subarray", lambda s, sf: rounded(motifs.iterated_max_subarrays(_event_scores(s, sf), 2, 10), "score", places=3))
-query("smallest_positive", lambda s, sf: rounded(_event_scores(s, sf).select("id", motifs.smallest_positive(F.col("score")).alias("base")), "base", places=3), f"WITH {_SCORES} SELECT id, coalesce(round(min(x) FILTER (x > 0), 3), -1.0) AS base FROM z GROUP BY id")
+query("smallest_positive", lambda s, sf: rounded(motifs.smallest_positives(_event_rows(s, sf), "id", "score"), "base", places=3), f"WITH {_SCORES} SELECT id, coalesce(round(min(x) FILTER (x > 0), 3), -1.0) AS base FROM z GROUP BY id")
 
 
 def _extracted(s: SparkSession, sf: str) -> DataFrame:
