@@ -78,7 +78,7 @@ rows_ AS ({_lift(mask) if not options.discrete else 'SELECT * FROM plain'}),
 
 
 def _lift(mask: int) -> str:
-    dense = f"SELECT p.graph_id, p.vid, r, d, (feature + i) % {mask} AS feature, value * CAST(v.embedding[i + 1] AS DOUBLE) AS value FROM plain p JOIN v ON v.graph_id = p.graph_id AND v.vid = p.vid, range(0, 4) t(i)"
+    dense = f"SELECT p.graph_id, p.vid, r, d, (feature + i) % {mask} AS feature, value * CAST(v.embedding[i + 1] AS DOUBLE) AS value FROM plain p JOIN v ON v.graph_id = p.graph_id AND v.vid = p.vid, range(0, 64) t(i)"
     sparse = f"SELECT p.graph_id, p.vid, r, d, ({H('feature', 'i')} & {mask}) + 1 AS feature, value * CAST(v.embedding[i + 1] AS DOUBLE) AS value FROM (SELECT graph_id, vid, r, d, feature, sum(value) AS value FROM ({dense}) GROUP BY ALL) p JOIN v ON v.graph_id = p.graph_id AND v.vid = p.vid, range(0, 64) t(i) WHERE abs(CAST(v.embedding[i + 1] AS DOUBLE)) > 0.2"
     return f"{dense} UNION ALL {sparse}"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinage.operators.sampling import placed
 from vicinage.operators.sequence_vectorizer import tokens_of
 
 
@@ -55,11 +56,13 @@ def role_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def vector_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Chains of ten embeddings of one class; ``vec`` has the first four coordinates, ``svec`` the large ones."""
-    rows = table(spark, sf_dir, "embeddings")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    """Chains of ten embeddings of one class; ``vec`` has all coordinates, ``svec`` the large ones.
+
+    Embeddings are ranked in buckets of 4096 ids, whose sizes are summed up by class.
+    """
+    rows = placed(table(spark, sf_dir, "embeddings"), F.col("vec_id") * 256, ["vec_id"], "label")
     large = F.map_from_entries(F.filter(F.transform("embedding", lambda x, i: F.struct(i.cast("string").alias("key"), x.cast("double").alias("value"))), lambda e: F.abs(e["value"]) > 0.2))
-    vertices = rows.withColumn("rank", rank).select((F.col("label") * 100000 + F.floor(F.col("rank") / 10)).cast("long").alias("graph_id"), (F.col("rank") % 10).cast("long").alias("vid"), F.col("label").cast("string").alias("label"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("vec"), large.alias("svec"))
+    vertices = rows.withColumn("rank", F.col("place") - 1).select((F.col("label").cast("long") * (1 << 40) + F.floor(F.col("rank") / 10)).cast("long").alias("graph_id"), (F.col("rank") % 10).cast("long").alias("vid"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), large.alias("svec"))
     edges = vertices.filter("vid > 0").select("graph_id", (F.col("vid") - 1).alias("src"), F.col("vid").alias("dst"), F.lit("-").alias("label"))
     return vertices, edges
 
@@ -90,7 +93,7 @@ ROLES_SQL = (
     "UNION ALL SELECT graph_id, src, dst, 'answers', 0.5, true FROM (SELECT graph_id, lag(vid, 2) OVER (PARTITION BY graph_id ORDER BY vid) AS src, vid AS dst, label FROM v) WHERE src IS NOT NULL AND label = 'assistant'",
 )
 VECTORS_SQL = (
-    "SELECT CAST(label * 100000 + rank // 10 AS BIGINT) AS graph_id, CAST(rank % 10 AS BIGINT) AS vid, CAST(label AS VARCHAR) AS label, CAST(NULL AS DOUBLE) AS weight, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank FROM embeddings)",
+    "SELECT label * 1099511627776 + rank // 10 AS graph_id, CAST(rank % 10 AS BIGINT) AS vid, CAST(label AS VARCHAR) AS label, CAST(NULL AS DOUBLE) AS weight, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank FROM embeddings)",
     NAMES_SQL[1],
 )
 EVENTS_SQL = "SELECT user_id AS id, list(substring(event_type, 1, 1) ORDER BY ts, event_id) AS tokens, list(value / 100 ORDER BY ts, event_id) AS weights FROM events GROUP BY user_id"
