@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinage.functions.lineage import cut, few, shared_folder  # noqa: F401
+from vicinage.functions.lineage import cut, few, shared_folder, stored  # noqa: F401
 
 #: The separators of a word: space, and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"

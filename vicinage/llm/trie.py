@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import cut, n_words
+from vicinage.llm.common import cut, n_words, stored
 
 #: Turns, or nodes of a path, that one window holds; what is longer has several, carried on over their sums.
 SEGMENT = 1024
@@ -104,10 +105,10 @@ def _starts(chains: DataFrame) -> DataFrame:
     """
     above = chains.select(F.col("conv_id").alias("at"), F.col("begins").alias("begins_at"))
     head = _last(F.col("begins_at"), F.col("top.depth") - 1)
-    state = cut(chains.filter("top.heavy").withColumn("at", F.col("top.parent_conv_id")).join(above, "at").select("conv_id", F.when(head.isNotNull(), F.struct(F.col("at").alias("conv_id"), head.alias("depth"))).alias("head"), "at"))
+    state = stored(chains.filter("top.heavy").withColumn("at", F.col("top.parent_conv_id")).join(above, "at").select("conv_id", F.when(head.isNotNull(), F.struct(F.col("at").alias("conv_id"), head.alias("depth"))).alias("head"), "at"))
     while not state.filter(F.col("head").isNull()).isEmpty():
         further = state.select(F.col("conv_id").alias("at"), F.col("head").alias("head_at"), F.col("at").alias("further"))
-        state = cut(state.join(further, "at", "left").select("conv_id", F.coalesce("head", "head_at").alias("head"), F.coalesce("further", "at").alias("at")))
+        state = stored(state.join(further, "at", "left").select("conv_id", F.coalesce("head", "head_at").alias("head"), F.coalesce("further", "at").alias("at")))
     return state.select("conv_id", F.col("head").alias("start"))
 
 
@@ -138,19 +139,18 @@ def subtree_sums(tree: DataFrame) -> DataFrame:
     tree = cut(tree)
     path = ["head_conv", "head_depth"]
     totals = [F.sum(c).alias(c) for c in SUMS]
-    # Each path's own sum rises to the path above it, round by round, and is added up on its way.
-    tops = tree.filter((F.col("conv_id") == F.col("head_conv")) & (F.col("depth") == F.col("head_depth")) & (F.col("depth") > 0)).select(*NODE, "parent_conv_id")
-    at = tree.select(F.col("conv_id").alias("parent_conv_id"), (F.col("depth") + 1).alias("depth"), F.col("head_conv").alias("conv_above"), F.col("head_depth").alias("depth_above"))
-    tops = cut(tops.join(at, ["parent_conv_id", "depth"]))
-    rising = cut(tree.groupBy(F.col("head_conv").alias("conv_id"), F.col("head_depth").alias("depth")).agg(*totals))
-    summed = rising
+    # Each path's own sum rises to the node above it, and with that node's path further up, round by round.
+    tops = cut(tree.filter((F.col("conv_id") == F.col("head_conv")) & (F.col("depth") == F.col("head_depth")) & (F.col("depth") > 0)).select(*NODE, "parent_conv_id"))
+    at = tree.select(*NODE, *path)
+    by_path = lambda df: df.groupBy(F.col("head_conv").alias("conv_id"), F.col("head_depth").alias("depth")).agg(*totals)
+    rising, steps = by_path(tree), []
     while True:
-        rising = cut(rising.join(tops, NODE).groupBy(F.col("conv_above").alias("conv_id"), F.col("depth_above").alias("depth")).agg(*totals))
-        if rising.isEmpty():
+        step = cut(rising.join(tops, NODE).groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(*totals))
+        if step.isEmpty():
             break
-        summed = summed.unionByName(rising)
-    whole = summed.groupBy(*NODE).agg(*totals)
-    hung = whole.join(tops, NODE).groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(*[F.sum(c).alias(f"hung_{c}") for c in SUMS])
+        steps.append(step)
+        rising = by_path(step.join(at, NODE))
+    hung = reduce(DataFrame.unionByName, steps, step).groupBy(*NODE).agg(*[F.sum(c).alias(f"hung_{c}") for c in SUMS])
     with_hung = tree.join(hung, NODE, "left")
     carried = _carried(with_hung, path, "depth", {c: F.col(c) + F.coalesce(f"hung_{c}", F.lit(0)) for c in SUMS}, F.sum, falling=True)
     return carried.withColumns({c: F.col(f"_{c}") + F.col(f"_{c}_before") for c in SUMS}).drop(*[f"{p}{c}{s}" for c in SUMS for p, s in (("_", ""), ("_", "_before"), ("hung_", ""))])
