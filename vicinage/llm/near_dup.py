@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import cut, documents, few
 from vicinage.llm.components import connected, merged
 from vicinage.llm.kernel import U, Words, blocks, distinct, mixed, series, shingles
-from vicinage.llm.residual import around_hubs
+from vicinage.llm.residual import around_hubs, members_of
 
 #: At similarity 0.8 a pair shares 16 of 32 coordinates on average, and fewer than 5 once in 100,000 pairs.
 COORDINATES, ROWS, MATCHES = 32, 3, 5
@@ -168,7 +168,7 @@ def _components(classes: DataFrame, plain: DataFrame, width: int, percent: int)
     apart = rooted.groupBy(*LIST).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select(*LIST)
     rooted = cut(rooted.join(apart, LIST))
     pairs = _alike(_across(rooted.filter(F.col("length") <= SHORT), percent), tokens)
-    crowded = cut(rooted.filter(F.col("length") > SHORT).select("hub", "rep", "root").distinct())
+    crowded = cut(members_of(rooted.filter(F.col("length") > SHORT), component))
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.unionByName(around_hubs(crowded, sets, percent)).distinct().join(tried, ["a", "b"], "left_anti")
     return merged(component, cut(confirmed(pairs, sets, percent)))

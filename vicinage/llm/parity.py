@@ -32,7 +32,7 @@ from vicinage.llm.common import cut, documents, few
 from vicinage.llm.components import connected, merged
 from vicinage.llm.kernel import U, Words, blocks, distinct, mixed, shingles
 from vicinage.llm.near_dup import SHORT, confirmed
-from vicinage.llm.residual import around_hubs
+from vicinage.llm.residual import around_hubs, members_of
 
 BITS = 2048
 #: Largest size of a band over its smallest. Low bits of a list's name hold its band, those of a class how many lists it needs.
@@ -230,7 +230,7 @@ def _components(lists: DataFrame, classes: DataFrame, plain: DataFrame, width: i
     rooted = cut(rooted.join(apart, "list"))
     p, q = (rooted.filter(F.col("length") <= SHORT).select("list", F.col("rep").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     pairs = p.join(q, "list").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
-    members = cut(rooted.filter(F.col("length") > SHORT).select("hub", "rep", "root").distinct())
+    members = cut(members_of(rooted.filter(F.col("length") > SHORT), component))
     pairs = pairs.union(around_hubs(members, sets, percent)).distinct()
     return merged(component, cut(confirmed(_in_reach(pairs, sets, percent), sets, percent)))
 

@@ -19,8 +19,17 @@ from vicinage.llm.common import cut, few
 BANDS = 8
 
 
+def members_of(rooted: DataFrame, component: DataFrame) -> DataFrame:
+    """hub, rep, root of rows (hub, rep, root): each hub is replaced by the root of its component (node, root).
+
+    Lists of one family have several hubs, which are mostly linked; so a member is compared with few of them.
+    """
+    of_hub = component.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    return rooted.select("hub", "rep", "root").distinct().join(of_hub, "hub", "left").select(F.coalesce("hub_root", "hub").alias("hub"), "rep", "root").distinct()
+
+
 def around_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of members (hub, rep, root; each hub is one of its own) of one hub and different roots that can be linked, found without loss.
+    """Pairs a < b of members (hub, rep, root; a hub is its own root) of one hub and different roots that can be linked, without loss.
 
     sets: id, shingles (distinct; an id can have several). Two sets are linked if 100 * intersection >= percent * union. At least one of each
     pair must not be linked with the hub; hubs are paired with their own members, too.
@@ -51,6 +60,5 @@ def around_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     opposite = F.col("p.alone") | (F.col("p.band") != F.col("q.band"))
     same = [F.col("p.key") == F.col("q.key"), F.col("p.rep") < F.col("q.rep"), F.col("p.root") != F.col("q.root")]
     pairs = p.join(q, [*same, opposite, fits, 2 * F.least("p.rest", "q.rest") >= needed]).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
-    own_root = members.filter(F.col("rep") == F.col("hub")).select("hub", F.col("root").alias("own_root"))
-    hubs = members.join(own_root, "hub").filter(F.col("root") != F.col("own_root")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    hubs = members.filter(F.col("root") != F.col("hub")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     return pairs.union(hubs).distinct()
