@@ -9,7 +9,7 @@ from vicinage.plans import registry
 entry_module.queries()
 NAMES = sorted(registry.SQL)
 #: Queries without SQL, all of them tested in test_models.py but graph_align, whose operator is tested there.
-OTHERS = {"auto_label", "auto_relabel", "bias_variance", "cluster", "cross_val_auc", "estimate_model", "fit_predict", "graph_align", "iterated_max_subarray", "learning_curve", "model_search", "model_selection", "predictive_performance", "regress", "sequence_predict", "stable_match", "truncated_svd"}
+OTHERS = {"auto_label", "auto_relabel", "bias_variance", "cluster", "cross_val_auc", "estimate_model", "fit_predict", "graph_align", "iterated_max_subarray", "learning_curve", "model_search", "model_selection", "predictive_performance", "regress", "sequence_predict", "stable_match", "truncated_svd", "vector_relabel"}
 
 
 @pytest.mark.parametrize("name", NAMES)

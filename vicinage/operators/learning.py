@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions.lineage import cut
-from vicinage.operators import graph_vectorizer, metrics, training
+from vicinage.operators import clusters, graph_vectorizer, metrics, training
 from vicinage.operators.options import GraphOptions
 
 
@@ -48,23 +47,30 @@ def regress(vectors: DataFrame, target: str = "label", regularization: float = 1
     return LinearRegression(labelCol=target, regParam=regularization, elasticNetParam=mix, maxIter=iterations, standardization=False).fit(vectors)
 
 
-def cluster(vectors: DataFrame, n_clusters: int = 16, seed: int = 1, iterations: int = 10) -> DataFrame:
-    """``vectors`` with cluster and distances to all centres."""
-    model = KMeans(k=n_clusters, seed=seed, maxIter=iterations, featuresCol="features", predictionCol="cluster").fit(vectors)
-    centers = [Vectors.dense(c) for c in model.clusterCenters()]
-    away = F.udf(lambda v: [float(v.squared_distance(c)) ** 0.5 for c in centers], "array<double>")
-    return model.transform(vectors).withColumn("distances", away("features"))
+def cluster(features: DataFrame, keys: list[str], n_clusters: int = 16, seed: int = 1, iterations: int = 10) -> DataFrame:
+    """keys, cluster, distances to all centres of the vectors of long rows (keys, feature, value)."""
+    return clusters.kmeans(features, keys, n_clusters, seed, iterations)[0]
 
 
-def auto_label(features: DataFrame, nbits: int, n_clusters: int = 16, seed: int = 1) -> DataFrame:
+def auto_label(features: DataFrame, n_clusters: int = 16, seed: int = 1) -> DataFrame:
     """graph_id, vid, label, vec: the cluster of each vertex's vector and its distances to all centres."""
-    found = cluster(as_vectors(features, ["graph_id", "vid"], nbits), n_clusters, seed)
+    found = cluster(features, ["graph_id", "vid"], n_clusters, seed)
     return found.select("graph_id", "vid", F.col("cluster").cast("string").alias("label"), F.col("distances").alias("vec"))
 
 
+def vector_relabel(vertices: DataFrame, n_clusters: int = 8, seed: int = 1) -> DataFrame:
+    """``vertices`` with the cluster of each one's own vec as its label, and 1 / (1 + distance) to all centres as vec.
+
+    Vectors have one length and no nulls. A vertex whose vec is null or empty gets a null label and vec.
+    """
+    features = vertices.select("graph_id", "vid", F.posexplode("vec").alias("feature", "value"))
+    found = auto_label(features, n_clusters, seed).withColumn("vec", F.transform("vec", lambda x: 1 / (1 + x)))
+    return vertices.drop("label", "vec").join(found, ["graph_id", "vid"], "left")
+
+
 def auto_relabel(vertices: DataFrame, edges: DataFrame, options: GraphOptions, n_clusters: int = 16, seed: int = 1) -> DataFrame:
     """``vertices`` with the cluster of each one as its label and the distances to all centres as vec; edges stay as they are."""
-    found = auto_label(graph_vectorizer.vertex_vectorize(vertices, edges, options), options.nbits, n_clusters, seed)
+    found = auto_label(graph_vectorizer.vertex_vectorize(vertices, edges, options), n_clusters, seed)
     return vertices.drop("label", "vec").join(found, ["graph_id", "vid"], "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.operators.neighborhoods import both_ways, simple_edges
+from vicinage.operators.quantiles import quantiles
 
 
 def class_stats(df: DataFrame, column: str) -> DataFrame:
@@ -21,10 +22,8 @@ def describe_features(features: DataFrame, key: str = "graph_id") -> DataFrame:
 
 
 def score_percentiles(df: DataFrame, key: str, score: str) -> DataFrame:
-    """key, p50, p25, p75, p10, p90 with linear interpolation."""
-    points = {"p50": 0.5, "p25": 0.25, "p75": 0.75, "p10": 0.1, "p90": 0.9}
-    found = df.groupBy(key).agg(F.percentile(score, F.array(*map(F.lit, points.values()))).alias("p"))
-    return found.select(key, *[F.col("p")[k].alias(name) for k, name in enumerate(points)])
+    """key, p50, p25, p75, p10, p90 with linear interpolation; no task holds the scores of a key."""
+    return quantiles(df, key, score, {"p50": 0.5, "p25": 0.25, "p75": 0.75, "p10": 0.1, "p90": 0.9})
 
 
 def average_and_deviation(df: DataFrame, key: str, score: str) -> DataFrame:

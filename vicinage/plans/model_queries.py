@@ -50,15 +50,16 @@ query("learning_curve", lambda s, sf: rounded(training.learning_curve(_examples(
 query("bias_variance", lambda s, sf: rounded(training.bias_variance(_examples(s, sf), "graph_id", BITS), "mean", "std"))
 query("predictive_performance", lambda s, sf: rounded(training.predictive_performance(_examples(s, sf), "graph_id", BITS), "average_precision"))
 query("model_search", lambda s, sf: rounded(training.search(_examples(s, sf), "graph_id", BITS)[3], "mean", "deviation"))
-query("cluster", lambda s, sf: learning.cluster(_vectors(s, sf), 8).select("graph_id", "cluster"))
+query("cluster", lambda s, sf: learning.cluster(graph_vectorizer.vectorize(*C.name_graphs(s, sf), NAMES), ["graph_id"], 8).select("graph_id", "cluster"))
 
 
 def _relabelled(s: SparkSession, sf: str) -> DataFrame:
     vertices, edges = C.vector_graphs(s, sf)
-    return learning.auto_label(graph_vectorizer.vertex_vectorize(vertices, edges, NAMES), BITS, 4)
+    return learning.auto_label(graph_vectorizer.vertex_vectorize(vertices, edges, NAMES), 4)
 
 
 query("auto_label", _relabelled)
+query("vector_relabel", lambda s, sf: (lambda rows: rows.select("graph_id", "vid", "label", F.transform("vec", lambda x: F.round(x, 6)).alias("vec")))(learning.vector_relabel(C.vector_graphs(s, sf)[0], 4)))
 
 
 def _sequence_predictions(s: SparkSession, sf: str) -> DataFrame:
