@@ -41,6 +41,16 @@ def test_paths_equal_dijkstra(spark, delta):
     assert found.keys() == true.keys() and all(math.isclose(found[k], true[k], abs_tol=1e-9) for k in true)
 
 
+def test_paths_in_narrow_buckets(spark):
+    """All edges but one are longer than a bucket, and a detour of short ones beats a long edge."""
+    lines = [(0, 1, 0.1), (1, 2, 0.5), (0, 2, 0.9), (2, 3, 0.3)]
+    vertices = spark.createDataFrame([(1, v) for v in range(4)], "graph_id long, vid long")
+    edges = spark.createDataFrame([(1, *line) for line in lines], "graph_id long, src long, dst long, len double")
+    rows = paths.shortest_paths(vertices, edges, "len", roots=vertices.filter("vid = 0"), delta=0.2).collect()
+    true = dijkstra(lines, 0)
+    assert {r["vid"] for r in rows} == true.keys() and all(math.isclose(r["distance"], true[r["vid"]], abs_tol=1e-9) for r in rows)
+
+
 def test_paths_of_chosen_roots_and_odd_edges(spark):
     vertices = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "graph_id long, vid long")
     edges = spark.createDataFrame([(1, 0, 1, None), (1, 1, 2, 2.0)], "graph_id long, src long, dst long, len double")
