@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.functions.lineage import many
 from vicinage.operators.graph_vectorizer import vertex_vectorize
 from vicinage.operators.neighborhoods import simple_edges
 from vicinage.operators.options import GraphOptions, SequenceOptions
@@ -69,7 +70,7 @@ def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model
     Without a model, importance is one over the number of vertices and edges. weight mixes |importance| with the old
     weight by ``reweight``; with 0, or without an old weight, it is |importance|.
     """
-    keys = ["graph_id", "vid"]
+    keys, vertices = ["graph_id", "vid"], many(vertices)
     features = vertex_vectorize(vertices, edges, options) if model or vertex_features else None
     n = vertices.select("graph_id").unionByName(simple_edges(edges).select("graph_id")).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     if model is None:
