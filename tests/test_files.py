@@ -53,3 +53,17 @@ def test_no_plan_makes_all_pairs(spark):
     joins = [line for line in plan.split("\n") if "Join " in line]
     assert joins and all("=" in line for line in joins), joins
     assert links.link_split(v, e).count() == 11
+
+
+def test_written_files_grow_in_number(spark, small, monkeypatch):
+    """gSpan lines are written to as many files as a shuffle has parts, so that no part grows with the table."""
+    from vicinage.plans import data_queries
+
+    paths, read = [], data_queries.formats.read_file_lines
+    monkeypatch.setattr(data_queries.formats, "read_file_lines", lambda s, path: paths.append(path) or read(s, path))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        data_queries._read_gspan_files(spark, small)
+        assert len(spark.read.text(paths[0]).inputFiles()) > 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
