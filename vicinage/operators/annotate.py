@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.functions.lineage import many
+from vicinage.functions.lineage import many, spread
 from vicinage.operators.graph_vectorizer import vertex_vectorize
 from vicinage.operators.neighborhoods import simple_edges
 from vicinage.operators.options import GraphOptions, SequenceOptions
@@ -94,6 +94,7 @@ def annotate(vertices: DataFrame, edges: DataFrame, options: GraphOptions, model
 
 def annotate_sequences(sequences: DataFrame, options: SequenceOptions, model: Linear | None = None, probability: bool = False) -> DataFrame:
     """id, pos, token, importance: 1 without a model, else the margin of the position's features or its logistic probability."""
+    sequences = spread(sequences, "id")
     tokens = sequences.select("id", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     if model is None:
         return tokens.withColumn("importance", F.lit(1.0))
