@@ -2,6 +2,7 @@
 
 import random
 
+from vicinage.operators import neighborhoods as N
 from vicinage.operators import sequence_vectorizer as S
 from vicinage.operators.options import SequenceOptions
 
@@ -38,3 +39,25 @@ def test_windows_of_long_sequences(spark):
                             want[key] = want.get(key, 0.0) + sum(weights[pos : pos + r + 1]) + sum(weights[end : end + r + 1])
         found = S._pairs(spark.createDataFrame(rows, "id long, tokens array<string>, weights array<double>"), options).collect()
         assert len(found) == len(want) and {(x["id"], x["pos"], x["end"], x["r"]): x["value"] for x in found} == want
+
+
+def test_steps_from_a_hub_are_dealt(spark, monkeypatch):
+    """Stars whose middles are hubs, with a path behind: hops as in plain search, and no task that has a hub's steps whole."""
+    monkeypatch.setattr(N, "STEPS", 4)
+    edges = [(g, 0, k) for g in (1, 2) for k in range(1, 30)] + [(1, 1, 30), (1, 30, 31), (2, 2, 3)]
+    near, vertices = {}, sorted({(g, v) for g, a, b in edges for v in (a, b)})
+    for g, a, b in edges:
+        near.setdefault((g, a), set()).add(b)
+        near.setdefault((g, b), set()).add(a)
+    want = set()
+    for g, root in vertices:
+        hops, level = {root: 0}, {root}
+        for hop in (1, 2, 3):
+            level = {y for x in level for y in near[g, x]} - set(hops)
+            hops |= dict.fromkeys(level, hop)
+        want |= {(g, root, v, h) for v, h in hops.items()}
+    lines = spark.createDataFrame([(*e, False) for e in edges], "graph_id long, u long, v long, nesting boolean")
+    found = N.distances(spark.createDataFrame(vertices, "graph_id long, vid long"), lines, 3)
+    rows = [(r["graph_id"], r["root"], r["vid"], r["hops"]) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert "part" in found._jdf.queryExecution().optimizedPlan().toString()
