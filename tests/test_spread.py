@@ -2,6 +2,7 @@
 
 import random
 
+import __spark_entry__ as entry_module
 from vicinage.operators import neighborhoods as N
 from vicinage.operators import sequence_vectorizer as S
 from vicinage.operators.options import SequenceOptions
@@ -61,3 +62,9 @@ def test_steps_from_a_hub_are_dealt(spark, monkeypatch):
     rows = [(r["graph_id"], r["root"], r["vid"], r["hops"]) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
     assert "part" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_shuffled_before_their_words(spark, small):
+    """Words stay where their text was dealt to, so texts are shuffled and rows of words are not."""
+    plan = entry_module.queries()["word_sequence_roundtrip"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")
