@@ -2,10 +2,13 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_module
+from vicinage.operators import graph_vectorizer as G
 from vicinage.operators import neighborhoods as N
 from vicinage.operators import sequence_vectorizer as S
-from vicinage.operators.options import SequenceOptions
+from vicinage.operators.options import GraphOptions, SequenceOptions
 
 
 def test_sequences_of_one_part_are_unfolded_in_many(spark, monkeypatch):
@@ -68,3 +71,24 @@ def test_texts_are_shuffled_before_their_words(spark, small):
     """Words stay where their text was dealt to, so texts are shuffled and rows of words are not."""
     plan = entry_module.queries()["word_sequence_roundtrip"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")
+
+
+def test_lifted_features_are_made_in_many_tasks(spark):
+    """The few features of 60 graphs fit one task; what their vectors lift them to is dealt. Vectors and keys may be missing."""
+    rows = [(g, v, "ab"[v % 2], None if g == 3 else [] if g == 4 else [float(g + v + k) for k in range(5)], None if g == 5 else {} if g == 6 else {"x": 2.0, "y": float(v)}) for g in range(60) for v in range(3)]
+    vertices = spark.createDataFrame(rows, "graph_id long, vid long, label string, vec array<double>, svec map<string,double>")
+    edges = spark.createDataFrame([(g, v, v + 1, "-") for g in range(60) for v in range(2)], "graph_id long, src long, dst long, label string")
+    options = GraphOptions(r=1, d=1, nbits=20)
+    plain = G.rooted_features(vertices.drop("vec", "svec"), edges, options).groupBy("graph_id", "vid", "r", "d", "feature").agg(F.sum("value").alias("value")).collect()
+    lifted = G.rooted_features(vertices, edges, options.set_params(discrete=False))
+    assert lifted.select(F.spark_partition_id()).distinct().count() > 4
+    own, mask, want = {(g, v): (vec, svec) for g, v, _, vec, svec in rows}, (1 << 20) - 1, {}
+    hashed = {(f, k): h for f, k, h in spark.createDataFrame([(f, k) for x in plain for k in "xy" for f in ((x["feature"] + i) % mask for i in range(5))] + [(x["feature"], k) for x in plain for k in "xy"], "f long, k string").distinct().select("f", "k", (G.text_hash(F.col("f"), F.col("k")).bitwiseAND(mask) + 1).alias("h")).collect()}
+    for x in plain:
+        vec, svec = own[x["graph_id"], x["vid"]]
+        for f, value in [((x["feature"] + i) % mask, x["value"] * y) for i, y in enumerate(vec)] if vec else [(x["feature"], x["value"])]:
+            for at, y in [(f, value), *([(hashed[f, k], value * y) for k, y in svec.items()] if svec else [(f, value)])]:
+                key = (x["graph_id"], x["vid"], x["r"], x["d"], at)
+                want[key] = want.get(key, 0.0) + y
+    found = lifted.groupBy("graph_id", "vid", "r", "d", "feature").agg(F.sum("value").alias("value")).collect()
+    assert {tuple(x)[:5]: round(x["value"], 6) for x in found} == {k: round(y, 6) for k, y in want.items()}
