@@ -61,3 +61,9 @@ def test_only_one_of_each_kind_is_worked_on(spark):
 def test_exploded_rows_are_not_broadcast(spark, small, name):
     """Spark takes a name's vertices for as small as the name; their joins would gather all of them in the driver."""
     assert "Broadcast" not in entry_module.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["max_common_subgraph", "largest_common_fraction"])
+def test_matched_vertices_are_not_broadcast(spark, small, name):
+    """The same of the vertices and edges of all pairs of names."""
+    assert "Broadcast" not in entry_module.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
