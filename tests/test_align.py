@@ -33,3 +33,22 @@ def test_parts_are_joined_by_edges_of_the_second_graph(spark):
     matching = spark.createDataFrame([(7, v, v) for v in range(4)], "pair_id long, a_vid long, b_vid long")
     assert [tuple(r) for r in align.common_subgraphs(vertices, edges, pairs, matching).collect()] == [(7, 0, 4)]
     assert align.matching_neighborhoods_fraction(vertices, edges, pairs, matching).first()[1] == 1
+
+
+def test_equal_pairs_are_matched_once(spark, monkeypatch):
+    """Four kinds of names, a copy of each pair many times over, and a pair of its own: one pair of a kind is vectorized, all get its rows."""
+    names = ["abcab", "bcabc", "cab", "abcabca"]
+    texts = {k: names[k % 4] for k in range(40)} | {40: "bbcabx", 41: "ab"}
+    vertices = spark.createDataFrame([(g, v, c) for g, t in texts.items() for v, c in enumerate(t)], "graph_id long, vid long, label string")
+    edges = spark.createDataFrame([(g, v - 1, v, "-") for g, t in texts.items() for v in range(1, len(t))], "graph_id long, src long, dst long, label string")
+    pairs = spark.createDataFrame([(k, k + 1, k) for k in range(0, 42, 2)], "pair_id long, a_id long, b_id long")
+    sizes, make = [], align.vertex_vectorize
+
+    def watched(v, e, options):
+        sizes.append(v.select("graph_id").distinct().count())
+        return make(v, e, options)
+
+    monkeypatch.setattr(align, "vertex_vectorize", watched)
+    found = spark_rows(align.match(vertices, edges, pairs, 2, 3, 3))
+    assert sizes == [6, 6]
+    assert found == spark_rows(align._matched(vertices, edges, pairs, 2, 3, 3, 16)) and sizes[2:] == [42, 42]
