@@ -65,6 +65,26 @@ def test_paths_of_chosen_roots_and_odd_edges(spark):
             paths.shortest_paths(vertices, bad, "len").collect()
 
 
+@pytest.mark.parametrize("small", [0, 40, 256])
+def test_paths_of_small_and_large_graphs(spark, monkeypatch, small):
+    """Graphs of 1 to 30 vertices; small ones need no steps, and either way has the paths of plain search."""
+    monkeypatch.setattr(paths, "SMALL", small)
+    monkeypatch.setattr(paths, "CELLS", 60)
+    stepped, steps = [], paths.stepped_paths
+    monkeypatch.setattr(paths, "stepped_paths", lambda roots, *a: stepped.extend(r[0] for r in roots.select("graph_id").distinct().collect()) or steps(roots, *a))
+    pick = random.Random(small)
+    sizes = {g: n for g, n in enumerate([1, 2, 2, 5, 5, 30], 10)}
+    lines = {g: [(pick.randrange(n), pick.randrange(n), pick.choice([0.0, 0.1, 0.2, 1.7])) for _ in range(2 * n)] for g, n in sizes.items()}
+    vertices = spark.createDataFrame([(g, v) for g, n in sizes.items() for v in range(n)], "graph_id long, vid long")
+    edges = spark.createDataFrame([(g, a, b, x) for g, rows in lines.items() for a, b, x in rows], "graph_id long, src long, dst long, len double")
+    true = {(g, root, v): far for g, n in sizes.items() for root in range(n) for v, far in dijkstra(lines[g], root).items()}
+    most = {g: max(far for (h, _, _), far in true.items() if h == g) for g in sizes}
+    for shares in (False, True):
+        found = {tuple(r)[:3]: r["distance"] for r in paths.shortest_paths(vertices, edges, "len", shares=shares).collect()}
+        assert found.keys() == true.keys() and all(math.isclose(found[k], (true[k] / most[k[0]] if most[k[0]] else 0.0) if shares else true[k], abs_tol=1e-9) for k in true)
+    assert set(stepped) == {0: set(sizes), 40: {15}, 256: set()}[small]
+
+
 def test_kmeans_equals_mllib_from_one_start(spark):
     """Sparse rows around five middles; feature numbers are apart, so that rows share few of them."""
     draw = np.random.default_rng(2)
