@@ -9,6 +9,7 @@ from vicinage.operators import graph_vectorizer as G
 from vicinage.operators import neighborhoods as N
 from vicinage.operators import sequence_vectorizer as S
 from vicinage.operators.options import GraphOptions, SequenceOptions
+from vicinage.sources import corpora
 
 
 def test_sequences_of_one_part_are_unfolded_in_many(spark, monkeypatch):
@@ -92,3 +93,13 @@ def test_lifted_features_are_made_in_many_tasks(spark):
                 want[key] = want.get(key, 0.0) + y
     found = lifted.groupBy("graph_id", "vid", "r", "d", "feature").agg(F.sum("value").alias("value")).collect()
     assert {tuple(x)[:5]: round(x["value"], 6) for x in found} == {k: round(y, 6) for k, y in want.items()}
+
+
+def test_lines_of_orders_are_numbered_once(spark, small):
+    """Each use of an order's vertices or edges sorted and shuffled whole line items anew."""
+    vertices, edges = corpora.order_graphs(spark, small)
+    for table in (vertices, edges):
+        assert "Window" not in table._jdf.queryExecution().executedPlan().toString()
+    lengths = corpora.order_graphs(spark, small, lengths=True)[1]
+    weights = {(r["graph_id"], r["vid"]): r["weight"] for r in vertices.collect()}
+    assert edges.count() == lengths.count() and all(r["length"] == weights[r["graph_id"], r["dst"]] for r in lengths.collect())
