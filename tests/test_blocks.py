@@ -39,3 +39,27 @@ def test_gaps_by_blocks(spark, monkeypatch):
         assert sorted(map(tuple, gaps.gaps(queries, vectors).collect()), key=key) == sorted(plain, key=key)
     best = [r for _, group in itertools.groupby(sorted(plain, key=key), lambda r: r[0]) for r in itertools.islice(group, 5)]
     assert sorted((tuple(r)[:3] for r in gaps.nearest(queries, vectors, 5).collect()), key=key) == best
+
+
+def test_paths_between_equal_vertices(spark, monkeypatch):
+    """Stars joined in a ring, leaves of two middles, lone vertices: plain search has the same hops, and copies are not searched."""
+    monkeypatch.setattr(links, "PART", 4)
+    lines = [(0, 1), (1, 2), (2, 0), (2, 3)] + [(v % 3, 10 + v) for v in range(20)] + [(x, 40 + v) for v in range(9) for x in (0, 3)]
+    near = {v: set() for v in [*range(4), *range(10, 30), *range(40, 49), 60, 61]}
+    for a, b in lines:
+        near[a].add(b)
+        near[b].add(a)
+    searched, plain = [], links.distances
+    monkeypatch.setattr(links, "distances", lambda roots, *a: searched.append(roots.count()) or plain(roots, *a))
+    vertices = spark.createDataFrame([(5, v) for v in near if v not in (3, 12)], "graph_id long, vid long")  # two ends are no vertices
+    edges = spark.createDataFrame([(5, a, b, "-") for a, b in lines], "graph_id long, src long, dst long, label string")
+    for depth in (0, 1, 3):
+        want = []
+        for root in set(near) - {3, 12}:
+            hops, level = {root: 0}, {root}
+            for hop in range(1, depth + 1):
+                level = {y for x in level for y in near[x]} - set(hops)
+                hops |= dict.fromkeys(level, hop)
+            want += [(5, root, v, h) for v, h in hops.items()]
+        assert sorted(map(tuple, links.path_lengths(vertices, edges, depth).collect())) == sorted(want)
+    assert searched == [10] * 3
