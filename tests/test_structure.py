@@ -73,3 +73,15 @@ def test_stretches_over_segments(spark):
     pick.shuffle(rows)
     found = motifs.max_stretches(spark.createDataFrame(rows, "id long, segment long, k long, x double"), "id", "segment", ["k"], "x")
     assert {r["id"]: r["score"] for r in found.collect()} == best
+
+
+def test_trees_of_blocks_are_few_and_have_the_tree(spark):
+    """Copies and ties; the trees of two blocks have fewer edges than all pairs, and no point is asked for again."""
+    pick = random.Random(6)
+    points = [(k * 7 % 60, [float(pick.randrange(4)) for _ in range(2)]) for k in range(60)]
+    frame = spark.createDataFrame(points, "id long, vector array<double>")
+    found = {tuple(r) for r in linkage.near_edges(frame, 20).collect()}
+    assert len(found) <= 3 * 59
+    ids, x = np.array([i for i, _ in points]), np.array([v for _, v in points]).T
+    assert set(zip(*linkage._tree(ids, x), strict=True)) <= found
+    assert [(k + 1, d) for k, d in enumerate(sorted(r[3] for r in slow_linkage(points)))] == [(k + 1, d) for k, d in enumerate(sorted(linkage._tree(ids, x)[2]))]
